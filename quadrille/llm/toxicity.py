@@ -44,7 +44,7 @@ class OrdinalModel:
         return _sigmoid(np.asarray(margin)[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, l2: float = 2e-5, steps: int = 1500, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by maximum likelihood (Adam on the full batch).
 
     Thresholds are a first one plus positive steps, so they stay ordered.  Grades that
