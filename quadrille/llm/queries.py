@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import attribution, importance, packing, spm_bpe, toxicity
+from quadrille.llm import attribution, chosen_path, importance, line_dedup, packing, spm_bpe, toxicity, warc, weighted_sampling
 from quadrille.llm.common import Workspace, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,12 @@ def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, lines removed and the digest of the text that stays, of every document."""
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), Workspace(spark, "lines"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight, sampling key and selection of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -46,6 +52,11 @@ def quality_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     return importance.resample(scored, k, work)
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return weighted_sampling.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_spm_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the serialised sentencepiece model, and what they decode to."""
     return spm_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
@@ -56,5 +67,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), Workspace(spark, "packing"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_attribution, op5_importance, op7_spm_bpe, op8_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back."""
+    files = warc.write_archives(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+    found = warc.read_archives(files)
+    return found.select(
+        F.expr("try_cast(nullif(regexp_extract(record_id, '^<urn:row:(-?[0-9]+)>$', 1), '') as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(nullif(regexp_extract(refers_to, '^<urn:row:(-?[0-9]+)>$', 1), '') as bigint)").alias("refers_to"),
+    )
+
+
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "chosen-path"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_attribution, op3_line_dedup, op5_importance, op6_weighted_sampling, op7_spm_bpe, op8_packing, op9_warc, op10_chosen_path)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+             m AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN last > page_id THEN last END AS refers_to
+        FROM p LEFT JOIN m ON p.d = m.d AND n >= 1000
+    """,
+}
