@@ -9,67 +9,47 @@ consistent sampling, weighted minhash and L1 sketching"):
 The sample is the (term, t) of the smallest a.  Two documents agree in a sample with a
 probability that is the generalised Jaccard similarity of their weights, the sum of
 minima over the sum of maxima.  Terms are words, weights their counts.
-
-Gamma values come from a table of quantiles, one of which a few hash bits choose: the
-same distribution up to 1 / TABLE, without logarithms for every term and sample.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES, TABLE_BITS = 64, 10
-TABLE = 1 << TABLE_BITS
+SAMPLES = 24
 #: Rows of one bucket, and most buckets, in the order of keys.
 BUCKET_ROWS, LEVEL = 1024, 64
 _LOWEST, _SCALE = 40.0, float(1 << 41)  # ln a + _LOWEST is positive and below 64
 
 
-def gamma_quantiles() -> list[float]:
-    """The quantiles (i + 1/2) / TABLE of Gamma(2, 1), whose distribution is 1 - exp(-x)(1 + x)."""
-    found = []
-    for i in range(TABLE):
-        p, low, high = (i + 0.5) / TABLE, 0.0, 40.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - math.exp(-x) * (1 + x) < p else (low, x)
-        found.append((low + high) / 2)
-    return found
-
-
-def _table(values: list[float]) -> Column:
-    return F.lit(np.array(values))  # one literal, not an expression for each value
+def _unit(bits: Column, shift: int, width: int) -> Column:
+    """A number in (0, 1) from some of the bits."""
+    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+    return (part.cast("double") + F.lit(0.5)) * F.lit(2.0**-width)
 
 
-def packed_sample(term: Column, weight: Column, k: int, rates: Column, log_scales: Column) -> Column:
+def packed_sample(term: Column, log_weight: Column, k: int) -> Column:
     """A long whose order is that of a and whose low 16 bits name (term, t)."""
-    h = F.xxhash64(term, F.lit(k))
-    r = F.get(rates, h.bitwiseAND(F.lit(TABLE - 1)).cast("int"))
-    c = F.get(log_scales, F.shiftrightunsigned(h, TABLE_BITS).bitwiseAND(F.lit(TABLE - 1)).cast("int"))
-    b = F.shiftrightunsigned(h, 24).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") / float(1 << 24)
-    t = F.floor(weight / r + b)
-    order = ((c - r * (t - b) - r + _LOWEST) * _SCALE).cast("long")
-    name = F.shiftrightunsigned(h, 48).bitwiseXOR((t * 40503).bitwiseAND(F.lit(0xFFFF)))
+    one = F.xxhash64(term, F.lit(k))
+    two = F.xxhash64(one)
+    r = -F.ln(_unit(one, 0, 20) * _unit(one, 20, 20))  # the sum of two exponential draws
+    c = F.ln(-F.ln(_unit(two, 0, 24) * _unit(two, 24, 24)))
+    b = _unit(one, 40, 24)
+    t = F.floor(log_weight / r + b)
+    order = ((c - r * (t - b) - r + F.lit(_LOWEST)) * F.lit(_SCALE)).cast("long")
+    name = F.shiftrightunsigned(two, 48).bitwiseXOR((t * 40503).bitwiseAND(F.lit(0xFFFF)))
     return F.shiftleft(order, 16).bitwiseOR(name)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
 def _sketches(rows: DataFrame, keys: list[str], sides: list[str], samples: int) -> DataFrame:
     """By ``keys`` an array of packed names for each text column in ``sides``; null where it has no words."""
-    rates = gamma_quantiles()
-    rate_table, scale_table = _table(rates), _table([math.log(x) for x in rates])
     texts = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(sides)])).alias("s"))
     terms = texts.select(*keys, "s.side", F.explode(F.split("s.text", r"\s+")).alias("word")).where("word != ''")
     terms = terms.select(*keys, "side", F.xxhash64("word").alias("term"))
     weights = terms.groupBy(*keys, "side", "term").agg(F.ln(F.count("*")).alias("w"))
-    least = [F.min(packed_sample(F.col("term"), F.col("w"), k, rate_table, scale_table)).alias(f"m_{k}") for k in range(samples)]
+    least = [F.min(packed_sample(F.col("term"), F.col("w"), k)).alias(f"m_{k}") for k in range(samples)]
     found = weights.groupBy(*keys, "side").agg(*least)
 
     def packed(j: int) -> Column:
