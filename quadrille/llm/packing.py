@@ -13,7 +13,9 @@ which drains the emptiest bins until they vanish.  A group wastes about one bin,
 from __future__ import annotations
 
 import math
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.bpe import ChunkEncoder, rank_encoding
+from quadrille.llm.bpe import rank_encoding
 from quadrille.llm.common import Workspace
 
 #: The end-of-document id, the sequence length, and the pieces that one task packs together.
-END, LENGTH, GROUP = 2, 1024, 16_384
+END, LENGTH, GROUP = 2, 1024, 8_192
 
 
 def cut_pieces(n: int, length: int) -> list[tuple[int, int]]:
@@ -91,7 +93,7 @@ def _step(a: list[int], b: list[int], sizes: np.ndarray, free_b: int, lead: int)
     return found
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, most_partners: int = 64, most_rounds: int = 50, most_pieces: int = 96) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, most_partners: int = 24, most_rounds: int = 12, most_pieces: int = 48) -> list[list[int]]:
     """Raise the sum of squared fills among bins that are not full; empty bins go.
 
     A round takes the bins from the emptiest up and looks for partners among the fullest
@@ -130,14 +132,14 @@ def pieces(docs: DataFrame, vocabulary: str, key: str, text: str, length: int, e
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = rank_encoding(vocabulary)
-        chunks = ChunkEncoder(lambda c: np.array(encoding.encode_ordinary(c), dtype="<u4").tobytes())
-        tail = np.array([end], dtype="<u4").tobytes()
         for frame in frames:
             rows, keys = [], []
             for k, value in zip(frame["_key"], frame["_text"]):
-                ids = memoryview(chunks.bytes_of(value or "") + tail)
-                for number, (start, n) in enumerate(cut_pieces(len(ids) // 4, length)):
-                    rows.append((number, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                ids = encoding.encode_ordinary(value or "")
+                ids.append(end)
+                data = memoryview(array("I", ids)).cast("B") if sys.byteorder == "little" else memoryview(np.array(ids, dtype="<u4").tobytes())
+                for number, (start, n) in enumerate(cut_pieces(len(ids), length)):
+                    rows.append((number, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))
                     keys.append(k)
             out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
             out.insert(0, "_key", pd.Series(keys, dtype=frame["_key"].dtype))
