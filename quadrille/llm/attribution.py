@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.bpe import ChunkEncoder, rank_encoding
+from quadrille.llm.bpe import rank_encoding
 
 RULES = ("majority", "start", "share")
 
@@ -34,27 +34,18 @@ class SpanEncoder:
 
     def __init__(self, path: str):
         self.encoding = rank_encoding(path)
-        self.chunks = ChunkEncoder(self._chunk)
-
-    def _chunk(self, chunk: str) -> bytes:
-        tokens = self.encoding.encode_ordinary(chunk)
-        ends = np.cumsum([len(self.encoding.decode_single_token_bytes(t)) for t in tokens], dtype=np.int64)
-        starts = np.concatenate([ends[:0], [0], ends[:-1]]) if len(ends) else ends
-        if len(ends) and ends[-1] != len(chunk):  # some characters take several bytes
-            at = np.repeat(np.arange(len(chunk)), [len(c.encode()) for c in chunk])
-            starts, ends = at[starts], at[ends - 1] + 1
-        return np.stack([starts, ends], axis=1).astype("<i4").tobytes() if len(ends) else b""
+        self.sizes = np.array([len(self.encoding.decode_single_token_bytes(i)) for i in range(self.encoding.n_vocab)], dtype=np.int64)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        parts, spaced = self.chunks.parts(text)
-        found = list(self.chunks.encoded(parts, spaced))
-        pairs = np.frombuffer(b"".join(found), dtype="<i4").reshape(-1, 2)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        if spaced:
-            sizes[1:] += 1
-        begins = np.cumsum(sizes) - sizes
-        at = np.repeat(begins, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 8)
-        return pairs[:, 0] + at, pairs[:, 1] + at
+        tokens = self.encoding.encode_ordinary(text)
+        sizes = self.sizes[np.fromiter(tokens, dtype=np.int64, count=len(tokens))]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if len(ends) and ends[-1] != len(text):  # some characters take several bytes
+            data = np.frombuffer(text.encode(), dtype=np.uint8)
+            at = np.cumsum((data & 0xC0) != 0x80) - 1  # the character of every byte
+            starts, ends = at[starts], at[ends - 1] + 1
+        return starts, ends
 
 
 @lru_cache(maxsize=2)
