@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import attribution, chosen_path, importance, line_dedup, packing, spm_bpe, toxicity, warc, weighted_sampling
+from quadrille.llm import attribution, chosen_path, flat_graph, importance, line_dedup, packing, spm_bpe, toxicity, warc, weighted_sampling
 from quadrille.llm.common import Workspace, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,6 +30,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
 
 
+def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return flat_graph.near_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark, "flat-graph"))
+
+
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight, sampling key and selection of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -82,7 +87,7 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "chosen-path"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_attribution, op3_line_dedup, op5_importance, op6_weighted_sampling, op7_spm_bpe, op8_packing, op9_warc, op10_chosen_path)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_attribution, op3_line_dedup, op4_flat_graph, op5_importance, op6_weighted_sampling, op7_spm_bpe, op8_packing, op9_warc, op10_chosen_path)}
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
