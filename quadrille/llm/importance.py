@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Workspace, unit_interval
+from quadrille.llm.common import unit_interval
 
 #: Buckets of hashed n-grams; one half is for single words, one for pairs.
 BUCKETS = 1 << 17
@@ -140,17 +140,21 @@ def kth_largest(keys: DataFrame, column: str, k: int, fan: int = 4096, rounds: i
     return high
 
 
-def resample(scored: DataFrame, k: int, work: Workspace, key: str = "doc_id", seed: int = 17, name: str = "keys") -> DataFrame:
-    """``scored`` with sample_key = log_weight + Gumbel noise and selected, true for the k largest keys.
+def sample_key(key: str = "doc_id", seed: int = 17) -> Column:
+    """log_weight + Gumbel noise, of a scored table; the noise depends on the key and the row's weight."""
+    return F.col("log_weight") + gumbel(seed, F.col(key), F.col("log_weight"), F.col("n_grams"))
 
-    Noise depends on the key and the row's weight.  Rows that tie with the k-th key, as
-    repeated rows do, are all selected.  k of at least the number of rows selects all, 0
-    none.
+
+def sampling_threshold(scored: DataFrame, k: int, key: str = "doc_id", seed: int = 17) -> float:
+    """The k-th largest sample key: rows with a key of at least that are the sample.
+
+    Rows that tie with it, as repeated rows do, are all in the sample.  k of at least the
+    number of rows selects all, 0 none.
     """
-    keyed = scored.withColumn("sample_key", F.col("log_weight") + gumbel(seed, F.col(key), F.col("log_weight"), F.col("n_grams")))
-    keyed = work.save(keyed, name)
-    least = kth_largest(keyed, "sample_key", k) if k > 0 else float("inf")
-    return keyed.withColumn("selected", F.lit(True) if least is None else F.col("sample_key") >= F.lit(least))
+    if k <= 0:
+        return float("inf")
+    least = kth_largest(scored.withColumn("_key", sample_key(key, seed)), "_key", k)
+    return float("-inf") if least is None else least
 
 
 def calibrate(scored: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = 20_000) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,24 +38,25 @@ def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight, sampling key and selection of every document."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    keyed = quality_sample(spark, docs, labels)
+    scored, _, least = quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    keyed = scored.withColumn("sample_key", importance.sample_key()).withColumn("selected", F.col("sample_key") >= F.lit(least))
     return keyed.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("sample_key", 6).alias("sample_key"), "selected")
 
 
-def quality_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the importance columns; k is the number of documents that look like the target.
+def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
+    """The scores of all documents without their texts, the log ratios, and the sampling threshold.
 
-    The target is the labelled good text.  The threshold on the mean log ratio comes from
-    a bounded sample of labels; how many documents pass it is counted over all.
+    k is the number of documents that look like the target, the labelled good text: the
+    cut on the mean log ratio comes from a bounded sample of labels, and how many pass
+    it is counted over all documents.
     """
     work = Workspace(spark, "importance")
     good = labels.where("quality = 1").select("doc_id").distinct()
-    ratios = importance.log_ratios(docs, docs.join(good, "doc_id", "left_semi"))
-    scored = work.save(importance.score(docs, ratios), "scored")
-    least = importance.calibrate(scored, labels)
-    k = scored.where(F.col("mean_log_ratio") >= least).count()
-    return importance.resample(scored, k, work)
+    ratios = importance.log_ratios(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    scored = work.save(importance.score(docs.select("doc_id", "text"), ratios).drop("text"), "scored")
+    cut = importance.calibrate(scored, labels)
+    k = scored.where(F.col("mean_log_ratio") >= cut).count()
+    return scored, ratios, importance.sampling_threshold(scored, k)
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
