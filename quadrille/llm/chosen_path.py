@@ -35,8 +35,8 @@ WIDTH, THRESHOLD = 5, 0.75
 COORDINATES, TREES, DEPTH, LEAF, BLOCK = 128, 3, 14, 64, 512
 #: A child of at least this part of its parent counts as not shrinking.
 DENSE = 0.7
-#: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less five standard errors.
-LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
+#: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less four standard errors.
+LEAST_AGREEMENT = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 _REMEMBERED = 300_000
 _ODD = np.random.default_rng(20240229).integers(1 << 62, size=COORDINATES + WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -164,16 +164,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(rep, label): a smaller document of the same component, for those that have a link to one."""
-    low = edges.groupBy("b").agg(F.min("a").alias("label"))
-    up = low.select(F.col("b").alias("label"), F.col("label").alias("above"))
-    return low.join(up, "label", "left").select(F.col("b").alias("rep"), F.coalesce("above", "label").alias("label"))
-
-
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of the leaves that hold more than one label, with labels."""
-    named = members.join(_labels(edges), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the leaves that meet more than one component, with the component as label."""
+    labels = parts.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    named = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("node")
     return named.join(mixed, "node", "left_semi")
 
@@ -273,14 +267,14 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
         return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
     edges = confirm(_agreeing(hub_pairs(members, F.min("rep")), reps), "first")
-    mixed = work.save(_labelled(members, edges), "mixed-first")
+    mixed = work.save(_labelled(members, connected_components(edges, work, "parts-first")), "mixed-first")
     for turn in range(2):  # large leaves that one document did not settle: two more, drawn at random
         large = mixed.where(F.col("size") > 4 * leaf)
         if large.isEmpty():
             break
         drawn = F.min_by("rep", F.xxhash64(F.lit(turn), F.col("rep")))
         edges = confirm(_agreeing(hub_pairs(large.select("node", "rep"), drawn), reps).join(all_edges[0], ["a", "b"], "left_anti"), f"drawn-{turn}")
-        mixed = work.save(_labelled(members, edges), f"mixed-{turn}")
+        mixed = work.save(_labelled(members, connected_components(edges, work, f"parts-{turn}")), f"mixed-{turn}")
     edges = confirm(_within_leaves(mixed, reps, block), "rest")
     parts = connected_components(edges, work)
     own = sketches.join(classes, ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
