@@ -311,6 +311,10 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str, syntax: str | None = None) -> DataFrame:
     """Quads of files, by their ending or the syntax named."""
     kind = syntax or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind in ("rdf", "xml", "rdfxml", "owl"):
+        from quadrille.sources.rdfxml import read_rdfxml
+
+        return read_rdfxml(spark, path)
     return read_turtle(spark, path) if kind in ("ttl", "trig", "turtle") else read_nquads(spark, path)
 
 

@@ -89,6 +89,18 @@ def test_turtle_and_nquads(spark, tmp_path):
     assert rdf.parse_nquad("# nothing") is None
 
 
+def test_rdfxml(spark):
+    from quadrille.sources.rdfxml import parse_rdfxml, to_rdfxml
+
+    text = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="urn:e:" xml:base="http://x/">
+      <e:P rdf:about="a" e:n="1"><e:k rdf:resource="#b"/><e:l xml:lang="en">hi</e:l><e:d rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">3</e:d>
+      <e:c rdf:parseType="Collection"><rdf:Description rdf:about="q"/></e:c><e:r rdf:parseType="Resource"><e:z>9</e:z></e:r><rdf:li>one</rdf:li></e:P></rdf:RDF>"""
+    triples = parse_rdfxml(text)
+    assert ("<http://x/a>", "<urn:e:k>", "<http://x/#b>", None) in triples and ("<http://x/a>", "<urn:e:l>", '"hi"@en', None) in triples and len(triples) == 11
+    one, two = (spark.createDataFrame(t, SCHEMA) for t in (triples, parse_rdfxml(to_rdfxml(triples))))
+    assert canonical.isomorphic(one, two)
+
+
 def test_results(spark):
     df = spark.createDataFrame([("<urn:a>", '"x"@en', None), ("_:b", f'"1"^^<{XSD}integer>', '<<( <urn:a> <urn:b> "c" )>>')], "x string, y string, z string")
     for write, read in ((results.to_json, results.read_json), (results.to_xml, results.read_xml)):
