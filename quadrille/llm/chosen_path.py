@@ -267,14 +267,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
         return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
     edges = confirm(_agreeing(hub_pairs(members, F.min("rep")), reps), "first")
-    mixed = work.save(_labelled(members, connected_components(edges, work, "parts-first")), "mixed-first")
-    for turn in range(2):  # large leaves that one document did not settle: two more, drawn at random
-        large = mixed.where(F.col("size") > 4 * leaf)
-        if large.isEmpty():
-            break
-        drawn = F.min_by("rep", F.xxhash64(F.lit(turn), F.col("rep")))
-        edges = confirm(_agreeing(hub_pairs(large.select("node", "rep"), drawn), reps).join(all_edges[0], ["a", "b"], "left_anti"), f"drawn-{turn}")
-        mixed = work.save(_labelled(members, connected_components(edges, work, f"parts-{turn}")), f"mixed-{turn}")
+    mixed = work.save(_labelled(members, connected_components(edges, work, "parts-first")), "mixed")
     edges = confirm(_within_leaves(mixed, reps, block), "rest")
     parts = connected_components(edges, work)
     own = sketches.join(classes, ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
