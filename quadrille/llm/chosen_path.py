@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         pairs = work.save(pairs, f"pairs-{name}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = pairs.select(F.col("a").alias("rep")).distinct().union(pairs.select(F.col("b").alias("rep")).distinct()).distinct()
         for known in all_sets:
             wanted = wanted.join(known.select("rep"), "rep", "left_anti")
         wanted = work.save(wanted, f"wanted-{name}")
