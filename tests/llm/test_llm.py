@@ -162,6 +162,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0), work(spark)).count() == 0
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("klmnoprst") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    lines = []
+    for i in range(60):  # one word or one letter, in lines of 2 to 14 words
+        w = rng.choices(words, k=2 + i % 13)
+        e, at = list(w), rng.randrange(len(w))
+        e[at] = rng.choice(words) if i % 3 == 0 else e[at][:-1] + "x"
+        if i % 3 == 1:
+            e.insert(rng.randrange(len(e)), "q")
+        lines += [" ".join(w), " ".join(e)]
+    lines = [x for x in dict.fromkeys(lines)]
+    links = [(a, b) for a, x in enumerate(lines) for b, y in enumerate(lines[:a]) if abs(len(x) - len(y)) <= 0.1 * max(len(x), len(y)) and lev(x, y) <= 0.1 * max(len(x), len(y)) + 1e-9]
+    assert len(links) > 20
+    label = components(len(lines), links)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df, work(spark)).collect()}
+    assert [got[i] for i in range(len(lines))] == [int(label[i] != i) for i in range(len(lines))]
+
+
 def test_weighted_sampling(spark, docs, texts):
     got = {r["doc_id"]: r for r in weighted_sampling.fingerprints(docs, bucket_rows=16).collect()}
     ts = [t or "" for t in texts]
