@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 24
+SAMPLES = 64
 #: Rows of one bucket, and most buckets, in the order of keys.
 BUCKET_ROWS, LEVEL = 1024, 64
 _LOWEST, _SCALE = 40.0, float(1 << 41)  # ln a + _LOWEST is positive and below 64

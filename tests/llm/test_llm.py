@@ -207,6 +207,18 @@ def test_weighted_sampling(spark, docs, texts):
     assert weighted_sampling.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_weighted_sampling_takes_64_samples(spark, docs, texts):
+    errors = []
+    for r in weighted_sampling.fingerprints(docs, bucket_rows=16).collect():
+        assert r["fingerprint"] == "empty" or len(r["fingerprint"]) == 4 * 64
+        i = r["doc_id"]
+        a, b = Counter((texts[i] or "").split()), Counter((texts[(i + 1) % len(texts)] or "").split())
+        true = sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+        assert abs(r["near_next"] * 64 - round(r["near_next"] * 64)) < 1e-9
+        errors.append(r["near_next"] - true)
+    assert np.sqrt(np.mean(np.square(errors))) < 0.0625  # the standard error at similarity 0.5
+
+
 def test_packing(spark, docs, texts):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     lib.encode_special_tokens = True
