@@ -256,6 +256,13 @@ def test_local_search_only_improves():
         assert sorted(i for b in end for i in b) == list(range(60)) and len(end) <= len(start) and max(sizes[b].sum() for b in end) <= 1000
 
 
+def test_local_search_goes_on_while_it_helps():
+    assert packing.GROUP >= 16_384
+    for seed, bins in ((1, 212), (2, 209), (8, 212)):  # 24 partners, 12 rounds and 48 pieces end one or two bins above
+        sizes = np.random.default_rng(seed).integers(100, 600, 600)
+        assert len(packing.pack(sizes, 1000)) <= bins
+
+
 def test_warc(spark):
     rng = random.Random(4)
     big = ["".join(rng.choice("abcdef <>\n") for _ in range(n)) for n in (1000, 2500, 999)]
