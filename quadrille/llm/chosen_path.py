@@ -35,8 +35,8 @@ WIDTH, THRESHOLD = 5, 0.75
 COORDINATES, TREES, DEPTH, LEAF, BLOCK = 256, 3, 14, 64, 512
 #: A child of at least this part of its parent counts as not shrinking.
 DENSE = 0.7
-#: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less 3.5 standard errors.
-LEAST_AGREEMENT = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
+#: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less 5 standard errors.
+LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 _REMEMBERED = 300_000
 _ODD = np.random.default_rng(20240229).integers(1 << 62, size=COORDINATES + WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -113,6 +114,16 @@ def test_near_duplicates_are_all_links(spark, docs, texts):
     assert chosen_path.near_duplicates(docs.limit(0), work(spark)).count() == 0
 
 
+def test_near_duplicates_with_the_production_trees(spark, docs, texts):
+    n = chosen_path.COORDINATES
+    lost = sum(math.comb(n, i) * 0.75**i * 0.25 ** (n - i) for i in range(n) if i < chosen_path.LEAST_AGREEMENT * n)
+    assert lost < 1e-5  # of the pairs at the threshold, by the signatures
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_duplicates(docs, work(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == components(len(texts), links)
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(0, i) for i in range(150, 200)] + [(None, 3)]
