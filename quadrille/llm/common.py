@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is set.
+    Where a session on one machine names none a temporary folder is set; on a cluster
+    that is an error, as executors would write elsewhere.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = _fallback.get(spark.sparkContext.applicationId)
         if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="quadrille-")
             _fallback[spark.sparkContext.applicationId] = folder
             spark.sparkContext.setCheckpointDir(folder)
@@ -34,11 +37,13 @@ class Workspace:
 
     Writing a table cuts lineage and survives the loss of executors.  The tables stay
     until the program ends, because a result may still read them; ``drop`` removes one
-    earlier.
+    earlier.  Shuffle files go as soon as the job that made them ends: all that a later
+    job reads is in a table.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = f"{shared_folder(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
@@ -46,7 +51,7 @@ class Workspace:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.load(table, df.schema)
 
     def load(self, table: str, schema) -> DataFrame:
@@ -62,14 +67,6 @@ class Workspace:
             self.drop()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of finished jobs, whose plans are garbage by now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
