@@ -6,7 +6,9 @@ Adding independent Gumbel noise and keeping the k largest keys draws k documents
 replacement in proportion to their weights.
 
 Counts of the raw model cover every document: each task adds up its own documents and
-sends one row per bucket, so what is shuffled is buckets x tasks, never n-grams.
+sends one row per bucket, so what is shuffled is buckets x tasks, never n-grams.  The
+target model counts at most MAX_TARGET labelled documents in the same scan: their keys
+are broadcast, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from quadrille.llm.common import unit_interval
 
 #: Buckets of hashed n-grams; one half is for single words, one for pairs.
 BUCKETS = 1 << 17
+#: Labelled documents, chosen by a hash of their key, that the target model counts and that the cut is set by.
+MAX_TARGET, MAX_CALIBRATION = 20_000, 20_000
 _REMEMBERED = 400_000
 
 
@@ -51,18 +55,23 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate([ids % half, (pairs >> np.uint64(32)) % half + half]).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n) over all n-grams of all documents."""
+def bucket_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, wanted: Column | None = None) -> DataFrame:
+    """(bucket, n, n_wanted) over all n-grams of all documents, and of those for which ``wanted`` is true."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(buckets, dtype=np.int64)
+        total, some = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
         for frame in frames:
-            for value in frame["_t"]:
-                np.add.at(total, ngram_buckets(value, buckets), 1)
+            for value, flag in zip(frame["_t"], frame["_w"]):
+                found = ngram_buckets(value, buckets)
+                np.add.at(total, found, 1)
+                if flag:
+                    np.add.at(some, found, 1)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+        yield pd.DataFrame({"bucket": at, "n": total[at], "n_wanted": some[at]})
 
-    return docs.select(F.col(text).alias("_t")).mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    flag = F.lit(False) if wanted is None else F.coalesce(wanted, F.lit(False))
+    counted = docs.select(F.col(text).alias("_t"), flag.alias("_w")).mapInPandas(count, "bucket long, n long, n_wanted long")
+    return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_wanted").alias("n_wanted"))
 
 
 def log_model(counts: np.ndarray, smoothing: float) -> np.ndarray:
@@ -72,19 +81,22 @@ def log_model(counts: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log(halves / halves.sum(axis=1, keepdims=True)).ravel()
 
 
-def log_ratios(docs: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS, smoothing: float = 0.5) -> np.ndarray:
-    """log p_target - log p_raw of every bucket.
+def target_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality", max_target: int = MAX_TARGET) -> DataFrame:
+    """The keys of the documents of the target model: labelled 1, at most ``max_target`` by a hash, without nulls or repeats."""
+    good = labels.where(F.col(label) == 1).select(F.col(key).alias("_good")).dropna().distinct()
+    return good.orderBy(F.xxhash64("_good"), "_good").limit(max_target)
+
+
+def log_ratios(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = 0.5) -> np.ndarray:
+    """log p_target - log p_raw of every bucket; ``target`` holds the distinct keys ``_good`` of a bounded number of documents.
 
     The raw model counts all of ``docs``; the target's is smoothed by the raw model
     (weight ``smoothing`` x buckets), so a bucket that neither knows says nothing.
     """
-    counts = []
-    for side in (docs, target):
-        c = np.zeros(buckets, dtype=np.float64)
-        for r in bucket_counts(side, text, buckets).toLocalIterator():  # at most ``buckets`` rows
-            c[r["bucket"]] = r["n"]
-        counts.append(c)
-    raw, wanted = counts
+    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(target), F.col("_key") == F.col("_good"), "left")
+    raw, wanted = np.zeros(buckets), np.zeros(buckets)
+    for r in bucket_counts(marked, "_text", buckets, F.col("_good").isNotNull()).collect():  # at most ``buckets`` rows
+        raw[r["bucket"]], wanted[r["bucket"]] = r["n"], r["n_wanted"]
     prior = np.exp(log_model(raw, smoothing))
     return log_model(wanted + prior * smoothing * buckets, 1e-9) - np.log(prior)
 
@@ -157,10 +169,13 @@ def sampling_threshold(scored: DataFrame, k: int, key: str = "doc_id", seed: int
     return float("-inf") if least is None else least
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = 20_000) -> float:
-    """The mean log ratio that best splits labelled rows (balanced accuracy), on at most ``max_rows`` of them."""
+def calibrate(scored: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_CALIBRATION) -> float:
+    """The mean log ratio that best splits labelled rows (balanced accuracy), on at most ``max_rows`` of them.
+
+    Rows of one key count as one, with their mean.
+    """
     chosen = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(max_rows)
-    rows = scored.select(F.col(key).alias("_k"), "mean_log_ratio").join(F.broadcast(chosen), "_k").select("_y", "mean_log_ratio").collect()
+    rows = scored.select(F.col(key).alias("_k"), "mean_log_ratio").join(F.broadcast(chosen), "_k").groupBy("_k", "_y").agg(F.avg("mean_log_ratio").alias("mean_log_ratio")).select("_y", "mean_log_ratio").collect()
     y = np.array([r[0] for r in rows], dtype=int)
     s = np.array([r[1] for r in rows], dtype=float)
     if not (y == 1).any() or not (y == 0).any():

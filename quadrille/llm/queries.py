@@ -51,8 +51,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> t
     it is counted over all documents.
     """
     work = Workspace(spark, "importance")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    ratios = importance.log_ratios(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    ratios = importance.log_ratios(docs, importance.target_keys(labels))
     scored = work.save(importance.score(docs.select("doc_id", "text"), ratios).drop("text"), "scored")
     cut = importance.calibrate(scored, labels)
     k = scored.where(F.col("mean_log_ratio") >= cut).count()
