@@ -32,18 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
 _fallback: dict[str, str] = {}
 
 
+#: Rows of one batch that goes to a Python worker.
+BATCH = 512
+
+
 class Workspace:
     """Intermediate Parquet tables of one operator call, in the shared folder.
 
     Writing a table cuts lineage and survives the loss of executors.  The tables stay
     until the program ends, because a result may still read them; ``drop`` removes one
     earlier.  Shuffle files go as soon as the job that made them ends: all that a later
-    job reads is in a table.
+    job reads is in a table.  Python workers get batches of BATCH rows at most, so that
+    very long texts are held few at a time.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
         self.root = f"{shared_folder(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
