@@ -11,18 +11,17 @@ sections goes to one of them, or is shared, by a stated rule:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quadrille.llm.bpe import rank_encoding
 
 RULES = ("majority", "start", "share")
+SECTIONS = "array<struct<section long, start long, end long, n_tokens double, n_crossing long>>"
 
 
 class SpanEncoder:
@@ -95,35 +94,29 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     any order, that may leave gaps or overlap; without it the sections are the text's
     lines.  Spans are cut to the text; null, empty or reversed ones hold no tokens.
     Tokens in no section come as a row of section -1 when there are any.  A null or empty
-    text has one empty section when sections are lines.  Repeated rows give repeated
+    text has one empty section when sections are lines.  Strings of special tokens are
+    ordinary text.  Repeated rows give repeated
     results, an empty table an empty one; other columns of ``docs`` are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("section", "start", "end")), T.StructField("n_tokens", T.DoubleType()), T.StructField("n_crossing", T.LongType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = span_encoder(vocabulary)
-        for frame in frames:
-            parts, keys = [], []
-            for k, value, spans in zip(frame["_key"], frame["_text"], frame["_sections"] if sections else [None] * len(frame)):
-                value = value or ""
-                if sections:
-                    cut = [((s or {}).get("start"), (s or {}).get("end")) for s in (spans if spans is not None else [])]
-                    both = np.array([(0, 0) if a is None or b is None else (a, b) for a, b in cut], dtype=np.int64).reshape(-1, 2)
-                    low, high = np.clip(both[:, 0], 0, len(value)), np.clip(both[:, 1], 0, len(value))
-                else:
-                    low, high = line_sections(value)
-                given, crossing, outside = allocate(*encoder.spans(value), low, high, rule)
-                rows = np.stack([np.arange(len(low)), low, high, given, crossing], axis=1)
-                if outside:
-                    rows = np.vstack([rows, [-1, 0, 0, outside, 0]])
-                parts.append(rows)
-                keys += [k] * len(rows)
-            if keys:
-                table = np.vstack(parts)
-                yield pd.DataFrame({key: pd.Series(keys, dtype=frame["_key"].dtype), "section": table[:, 0].astype(int), "start": table[:, 1].astype(int), "end": table[:, 2].astype(int), "n_tokens": table[:, 3], "n_crossing": table[:, 4].astype(int)})
-
-    chosen = [F.col(key).alias("_key"), F.col(text).alias("_text")] + ([F.col(sections).alias("_sections")] if sections else [])
-    return docs.select(*chosen).mapInPandas(run, schema)
+
+    def count(value: str | None, spans) -> list[tuple]:
+        value = value or ""
+        if sections:
+            cut = [((s or {}).get("start"), (s or {}).get("end")) for s in (spans if spans is not None else [])]
+            both = np.array([(0, 0) if a is None or b is None else (a, b) for a, b in cut], dtype=np.int64).reshape(-1, 2)
+            low, high = np.clip(both[:, 0], 0, len(value)), np.clip(both[:, 1], 0, len(value))
+        else:
+            low, high = line_sections(value)
+        given, crossing, outside = allocate(*span_encoder(vocabulary).spans(value), low, high, rule)
+        rows = list(zip(range(len(low)), low.tolist(), high.tolist(), given.tolist(), crossing.tolist()))
+        return rows + [(-1, 0, 0, float(outside), 0)] if outside else rows
+
+    # keys stay out of Python, so a null key can't change the kind of the others
+    @F.pandas_udf(SECTIONS)
+    def counts(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([count(value, s) for value, s in zip(texts, spans)])
+
+    rows = docs.select(F.col(key).alias("_key"), F.explode(counts(F.col(text), F.col(sections) if sections else F.lit(None).cast("string"))).alias("_s"))
+    return rows.select(F.col("_key").alias(key), "_s.*")

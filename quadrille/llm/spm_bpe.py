@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.bpe import ChunkEncoder, read_ranks
+from quadrille.llm.common import own_name
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
@@ -115,19 +115,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
     columns; a column of a name added here is replaced.  ``keep_ids`` adds ``ids``, the
     array of token ids.  An empty table gives an empty table.
     """
-    added = {c.split()[0] for c in SCHEMA.split(", ")} | {"ids"}
-    kept = [f for f in docs.schema.fields if f.name.lower() not in added and f.name != text]
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept), SCHEMA] + ["ids array<long>"] * keep_ids)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = codec(vocabulary)
-        for frame in frames:
-            rows = []
-            for value in frame.pop("_text"):
-                ids = bpe.encode(value or "")
-                back = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == (value or "").encode(), *([ids.tolist()] if keep_ids else [])))
-            found = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * keep_ids, index=frame.index)
-            yield pd.concat([frame, found], axis=1)
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("_text")).mapInPandas(run, schema)
+    names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * keep_ids
+    kept = [f"`{c.replace('`', '``')}`" for c in docs.columns if c.lower() not in {*names, "ids"} and c != text]
+
+    # only texts go to Python, so a null elsewhere can't change the kind of a number
+    @F.pandas_udf(f"struct<{SCHEMA}{', ids array<long>' if keep_ids else ''}>")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        bpe, rows = codec(vocabulary), []
+        for value in texts:
+            ids = bpe.encode(value or "")
+            back = bpe.decode(ids)
+            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == (value or "").encode(), *([ids.tolist()] if keep_ids else [])))
+        return pd.DataFrame(rows, columns=names)
+
+    found = own_name(docs, "_found")
+    return docs.withColumn(found, encode(F.col(text))).select(*map(F.col, kept), *[F.col(f"{found}.{n}").alias(n) for n in names])
