@@ -69,3 +69,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 @lru_cache(maxsize=4)
 def rank_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+#: The string of the vocabulary's end-of-text token, whose id is the one after the last rank.
+END_OF_TEXT = "<|endoftext|>"
+
+
+@lru_cache(maxsize=4)
+def special_encoding(path: str) -> tiktoken.Encoding:
+    ranks = read_ranks(path)
+    return tiktoken.Encoding("ranks and end", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+
+
+def encoded(path: str, text: str) -> list[int]:
+    """The ids that the tokenizers library gives by default: the end-of-text string is one token."""
+    if END_OF_TEXT in text:
+        return special_encoding(path).encode(text, allowed_special={END_OF_TEXT}, disallowed_special=())
+    return rank_encoding(path).encode_ordinary(text)

@@ -16,7 +16,6 @@ import math
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.bpe import rank_encoding
+from quadrille.llm.bpe import encoded
 from quadrille.llm.common import Workspace
 
 #: The end-of-document id, the sequence length, and the pieces that one task packs together.
@@ -127,33 +126,31 @@ def pack(sizes: np.ndarray, capacity: int = LENGTH) -> list[list[int]]:
     return local_search(best_fit(sizes, capacity), sizes, capacity)
 
 
+PIECES = "array<struct<piece int, start long, length long, ids_crc32 long>>"
+
+
 def pieces(docs: DataFrame, vocabulary: str, key: str, text: str, length: int, end: int) -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32.  A null text is empty."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = rank_encoding(vocabulary)
-        for frame in frames:
-            rows, keys = [], []
-            for k, value in zip(frame["_key"], frame["_text"]):
-                ids = encoding.encode_ordinary(value or "")
-                ids.append(end)
-                data = memoryview(array("I", ids)).cast("B") if sys.byteorder == "little" else memoryview(np.array(ids, dtype="<u4").tobytes())
-                for number, (start, n) in enumerate(cut_pieces(len(ids), length)):
-                    rows.append((number, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))
-                    keys.append(k)
-            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-            out.insert(0, "_key", pd.Series(keys, dtype=frame["_key"].dtype))
-            yield out
-
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("_key", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, schema)
+    """One row per piece: _key, piece, start, length, ids_crc32.  A null text is empty."""
+
+    def cut(value: str | None) -> list[tuple[int, int, int, int]]:
+        ids = encoded(vocabulary, value or "")
+        ids.append(end)
+        data = memoryview(array("I", ids)).cast("B") if sys.byteorder == "little" else memoryview(np.array(ids, dtype="<u4").tobytes())
+        return [(number, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])) for number, (start, n) in enumerate(cut_pieces(len(ids), length))]
+
+    # keys stay out of Python, so a null key can't change the kind of the others
+    @F.pandas_udf(PIECES)
+    def cuts(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut(value) for value in texts])
+
+    return docs.select(F.col(key).alias("_key"), F.explode(cuts(F.col(text))).alias("_p")).select("_key", "_p.*")
 
 
 def pack_documents(docs: DataFrame, work: Workspace, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, group_size: int = GROUP) -> DataFrame:
     """Every piece with its place: key, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``vocabulary`` is a file of byte-level ranks.  Null keys and repeated rows are packed
+    ``vocabulary`` is a file of byte-level ranks; the string of its end-of-text token is
+    that token, as the tokenizers library has it by default.  Null keys and repeated rows are packed
     as documents of their own; an empty table gives no sequences; other columns are not
     read.  The table of pieces is written once, so row numbers stay the same when tasks
     run again.
@@ -172,8 +169,11 @@ def pack_documents(docs: DataFrame, work: Workspace, vocabulary: str, key: str =
             offset[items] = np.cumsum(inside) - inside
         return frame.assign(sequence_id=(frame["_group"].to_numpy(dtype=np.int64) << 32) + sequence, offset=offset)
 
-    schema = T.StructType([*table.schema.fields, T.StructField("_group", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    packed = table.where(part).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInPandas(run, schema).drop("_group")
+    kind = table.schema["_key"].dataType
+    dealt = table.where(part).withColumn("_key", F.col("_key").cast("string")).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    # a partition for each group, whatever its bytes: the search is what takes time
+    packed = dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(run, schema).drop("_group").withColumn("_key", F.col("_key").cast(kind))
     # full pieces: numbers below zero, so they never meet those of the groups
     full = table.where(~part).withColumn("sequence_id", -F.col("_row") - 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full).drop("_row").withColumnRenamed("_key", key)
