@@ -43,7 +43,7 @@ def locate(uri: str) -> tuple[storage.FileSystem, str]:
 # --- writing ---------------------------------------------------------------------------
 
 
-def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record(key: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """The bytes of one record, uncompressed."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -89,7 +89,8 @@ def write_archives(pages: DataFrame, work: Workspace, key: str = "page_id", url:
     back = revisits(pages, key, payload, least)
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), body.alias("_body"), F.sha1(body).alias("_digest"))
-    rows = rows.join(back, ["_key", "_digest"], "left").select("_key", "_url", "_body", "_last")
+    # keys go to Python as text: a null would turn a column of numbers into floats
+    rows = rows.join(back, ["_key", "_digest"], "left").select(F.col("_key").cast("string").alias("_key"), "_url", "_body", F.col("_last").cast("string").alias("_last"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = locate(folder)
@@ -101,7 +102,7 @@ def write_archives(pages: DataFrame, work: Workspace, key: str = "page_id", url:
                     if out is None:
                         name, size, count = f"{top}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = system.open_output_stream(name, compression=None)
-                    data = gzip_member(record(None if pd.isna(k) else int(k), u, bytes(b), None if pd.isna(to) else int(to), date))
+                    data = gzip_member(record(k, u, bytes(b), to, date))
                     out.write(data)
                     size, count = size + len(data), count + 1
                     if size >= ROTATE:
@@ -210,14 +211,18 @@ def parse(data: bytes) -> Parsed:
     return Parsed(fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri"), payload if stored else None, n, digest, fields.get("warc-refers-to"))
 
 
-def read_archives(files: DataFrame, split: int = SPLIT, payloads: bool = False) -> DataFrame:
+def read_archives(files: DataFrame, split: int = SPLIT, payloads: bool = False, most_tasks: int = 100_000) -> DataFrame:
     """The records of archive files (file, bytes): record_id, record_type, url, payload_bytes, payload_digest, refers_to.
 
     ``payloads`` adds the column payload, null for revisits.  Archives are cut into
-    ranges of ``split`` bytes that are read independently; an empty table of files gives
+    ranges of ``split`` bytes that are read independently, one in a task up to
+    ``most_tasks`` tasks; an empty table of files gives
     no records.
     """
-    ranges = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("low")).repartition("file", "low")
+    ranges = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("low"))
+    # a task for each range, whatever the size of the rows that name it; range numbers are dealt evenly
+    tasks = max(1, min(most_tasks, int(files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1)))
+    ranges = ranges.repartition(tasks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
