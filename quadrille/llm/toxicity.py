@@ -78,7 +78,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``max_train`` labelled rows, chosen by a hash of the key.
 
     Rows whose key or label is null or that have no document are not used; equal texts
-    count once, as copies would make their rare words look telling.  Without any toxic or
+    count once, as copies would make their rare words look telling; of several texts of one
+    key all count, up to ``max_train`` in all.  Without any toxic or
     any clean row the model has no features and grades everything 0.
     """
     chosen = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_k").agg(F.max("_y").alias("_y"))
@@ -91,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"_h": frame["_h"], "_y": frame["_y"], "words": [sorted(words_of(t)) for t in frame["_t"]]})
 
     found = rows.select(F.xxhash64("_t").alias("_h"), "_y", "_t").mapInPandas(features, "_h long, _y int, words array<string>")
-    found = found.groupBy("_h").agg(F.max("_y").alias("_y"), F.first("words").alias("words")).persist()
+    found = found.groupBy("_h").agg(F.max("_y").alias("_y"), F.first("words").alias("words")).orderBy("_h").limit(max_train).persist()
     try:
         n_clean, n_toxic = (found.where(F.col("_y") == v).count() for v in (0, 1))
         if not n_clean or not n_toxic:
