@@ -11,10 +11,17 @@ probability at least 0.88 (the survival of a branching process with two children
 live with probability s), so three trees miss at most 2 in 1000 such pairs, and far
 fewer of more alike ones.
 
-Leaves are compared exhaustively in blocks of bounded size, except that pairs already
-known to be in one component need no comparison: first each leaf's smallest document
-meets the rest, which settles groups of copies in as many pairs as they have members.
+Leaves are compared exhaustively, except that pairs already known to be in one component
+need no comparison: first each leaf's smallest document meets the rest, which settles
+groups of copies in as many pairs as they have members.  In what is left of a leaf the
+documents outside its largest component meet all others, in blocks of bounded size.  A
+first pass over signatures names the documents that may have a link; a second one compares
+their full sets where they meet, and only links that join components leave it, so a large
+group beside documents that are almost like it is never written out as pairs.
 Signatures only pre-filter by a wide margin; every link is confirmed on full sets.
+
+``audit_recall`` compares the signatures of AUDIT documents with all others, confirms
+those pairs on full sets and tells which part of them the join has in one component.
 """
 
 from __future__ import annotations
@@ -32,13 +39,14 @@ from quadrille.llm.common import Workspace
 from quadrille.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.75
-COORDINATES, TREES, DEPTH, LEAF, BLOCK = 256, 3, 14, 64, 512
+COORDINATES, TREES, DEPTH, LEAF, BLOCK, AUDIT = 256, 3, 14, 64, 256, 32
 #: A child of at least this part of its parent counts as not shrinking.
 DENSE = 0.7
 #: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less 5 standard errors.
 LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 _REMEMBERED = 300_000
 _ODD = np.random.default_rng(20240229).integers(1 << 62, size=COORDINATES + WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
@@ -77,33 +85,39 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Upper halves of the smallest products with the coordinates' odd factors."""
+    """For every coordinate 16 bits that name the smallest product of a shingle with its odd factor."""
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), 2048):
         np.minimum(low, (shingles[i : i + 2048, None] * _ODD[None, :COORDINATES]).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (low * _MIX >> np.uint64(48)).astype("<u2")
+
+
+def _signatures(packed) -> np.ndarray:
+    """A row of COORDINATES numbers for each packed signature."""
+    return np.frombuffer(b"".join(packed), dtype="<u2").reshape(-1, COORDINATES)
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: doc, n_shingles, two digests of the set, the signature."""
+    """Per document: doc, n_shingles, two digests of the set, the packed signature."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for value in frame["_text"]:
-                shingles = shingle_set(value)
-                digest = xxhash.xxh3_128_digest(shingles.tobytes())
-                rows.append((len(shingles), *np.frombuffer(digest, dtype="<i8").tolist(), signature(shingles)))
-            yield pd.concat([frame[["doc"]], pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "sig"], index=frame.index)], axis=1)
+    # keys stay out of Python, so a null key can't change the kind of the others
+    @F.pandas_udf("struct<n_shingles long, set_a long, set_b long, sig binary>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value in texts:
+            shingles = shingle_set(value)
+            digest = xxhash.xxh3_128_digest(shingles.tobytes())
+            rows.append((len(shingles), *np.frombuffer(digest, dtype="<i8").tolist(), signature(shingles).tobytes()))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "sig"])
 
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")).mapInPandas(run, "doc long, n_shingles long, set_a long, set_b long, sig array<int>")
+    return docs.select(F.col(key).cast("long").alias("doc"), run(F.col(text)).alias("_s")).select("doc", "_s.*")
 
 
 def _children(node: str | Column, seed: int) -> Column:
     """The two children of a node that a document with signature ``sig`` goes to."""
     first = F.pmod(F.xxhash64(F.lit(seed), node), F.lit(COORDINATES))
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(seed + 1), node), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
-    return F.array(*[F.xxhash64(node, i, F.element_at("sig", (i + 1).cast("int"))) for i in (first, second)])
+    return F.array(*[F.xxhash64(node, i, F.substring("sig", (2 * i + 1).cast("int"), F.lit(2))) for i in (first, second)])
 
 
 def leaves(reps: DataFrame, work: Workspace, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
@@ -129,8 +143,13 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough."""
     one = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     two = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return pairs.join(one, "a").join(two, "b").where(same >= LEAST_AGREEMENT * COORDINATES).select("a", "b")
+    least = LEAST_AGREEMENT * COORDINATES
+
+    @F.pandas_udf("boolean")
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series((_signatures(x) == _signatures(y)).sum(axis=1) >= least)
+
+    return pairs.join(one, "a").join(two, "b").where(agree("sig_a", "sig_b")).select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -143,6 +162,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "rep", "left_semi").mapInPandas(run, "rep long, shingles binary")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct numbers."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y) or not len(x):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 100 * threshold * union."""
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
@@ -153,12 +182,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         for frame in frames:
             keep = []
             for x, y in zip(frame["set_a"], frame["set_b"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+                keep.append(alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield frame.loc[keep, ["a", "b"]]
 
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
@@ -172,59 +196,115 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(mixed, "node", "left_semi")
 
 
-def _within_leaves(members: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different labels in one leaf whose signatures agree enough.
+def _units(members: DataFrame, block: int) -> DataFrame:
+    """Members (node, rep, label) dealt into units of work (node, i, j), with the side each is on.
 
-    Leaves of more than ``block`` documents are cut into blocks; every two blocks of a
-    leaf meet in a unit of work of their own, so no unit holds more than 2 x block rows.
+    A pair needs a look if its labels differ, so at least one of the two is outside the
+    leaf's largest component.  Documents outside it and those inside are cut into blocks;
+    every block of the former meets every block of either kind once.  A unit holds two
+    blocks, and a few strays in a large leaf copy its other members only as often as there
+    are blocks of strays.
     """
-    blocks = F.ceil(F.col("size") / block)
-    mine = F.when(blocks <= 1, 0).otherwise(F.pmod(F.xxhash64("rep"), blocks))
-    others = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    rows = members.join(reps.select("rep", "sig"), "rep").withColumn("mine", mine.cast("long")).select("node", "rep", "label", "sig", "mine", F.explode(others).alias("other"))
-    rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
+    sizes = members.groupBy("node", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("node", F.col("top.label").alias("major"), F.col("top.n").alias("inside"), (F.col("all") - F.col("top.n")).alias("outside"))
+    outer, inner = F.ceil(F.col("outside") / block), F.ceil(F.col("inside") / block)
+    is_outer = F.col("label") != F.col("major")
+    rows = members.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(is_outer, outer).otherwise(inner)))
+    number = lambda low, high: F.filter(F.sequence(F.least(low, high), high), lambda x: x >= low)
+    zero = F.lit(0).cast("long")
+    # as the one who asks it meets later blocks of outsiders and all blocks of insiders; earlier outsiders ask it
+    asks = F.transform(number(F.col("own"), outer + inner - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    asked = F.transform(F.filter(F.sequence(zero, outer - 1), lambda i: i < F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
+    held = F.transform(F.sequence(zero, outer - 1), lambda i: F.struct(i.alias("i"), (outer + F.col("own")).alias("j"), F.lit(1).alias("side")))
+    return rows.select("node", "rep", "label", F.explode(F.when(is_outer, F.concat(asks, asked)).otherwise(held)).alias("u")).select("node", "rep", "label", "u.*")
+
+
+def _unit_frames(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Frames with the row ranges of the whole units in them, from frames sorted by (node, i, j)."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        whole = pd.concat([*held, frame]) if held else frame
+        names = whole[["node", "i", "j"]].to_numpy()
+        ends = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        if last:
+            yield whole.iloc[:last], list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+        held = [whole.iloc[last:]]
+    if held:
+        yield held[0], [(0, len(held[0]))]
+
+
+def _candidates(sig: np.ndarray, label: np.ndarray, side: np.ndarray, inside: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each document on side 0 the documents of the unit that it may link with, of other labels as they are then."""
     least = LEAST_AGREEMENT * COORDINATES
+    others = np.flatnonzero(side == 1)
+    for k in np.flatnonzero(side == 0).tolist():
+        among = np.arange(k + 1, len(side)) if inside else others
+        among = among[label[among] != label[k]]
+        if len(among):
+            hit = among[(sig[among] == sig[k]).sum(axis=1) >= least]
+            if len(hit):
+                yield k, hit
 
-    def pairs_of(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, side: np.ndarray, split: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for k in range(len(rep) - 1):
-            later = np.flatnonzero((label[k + 1 :] != label[k]) & ((side[k + 1 :] != side[k]) if split else True)) + k + 1
-            if len(later):
-                hit = later[(sig[later] == sig[k]).sum(axis=1) >= least]
-                if len(hit):
-                    yield np.minimum(rep[hit], rep[k]), np.maximum(rep[hit], rep[k])
+
+def _active(units: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, rep) of the members that have a candidate in some unit."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, ranges in _unit_frames(frames):
+            sig, (node, rep, label, side, i, j) = _signatures(frame["sig"]), (frame[c].to_numpy() for c in ("node", "rep", "label", "side", "i", "j"))
+            met = np.zeros(len(frame), dtype=bool)
+            for low, high in ranges:
+                for k, hit in _candidates(sig[low:high], label[low:high], side[low:high], i[low] == j[low]):
+                    met[low + k] = met[low + hit] = True
+            yield pd.DataFrame({"node": node[met], "rep": rep[met]})
+
+    rows = units.join(reps.select("rep", "sig"), "rep").select("node", "rep", "label", "side", "i", "j", "sig")
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "node long, rep long").distinct()
+
+
+def _joining(units: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join components of a unit, confirmed on full sets."""
+    percent = round(100 * threshold)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, ranges in _unit_frames(frames):
+            sig, (rep, label, side, i, j) = _signatures(frame["sig"]), (frame[c].to_numpy() for c in ("rep", "label", "side", "i", "j"))
+            shingles = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
+            found = []
+            for low, high in ranges:
+                now = label[low:high].copy()
+                for k, hit in _candidates(sig[low:high], now, side[low:high], i[low] == j[low]):
+                    for h in hit.tolist():
+                        if now[h] != now[k] and alike(shingles[low + k], shingles[low + h], percent):
+                            found.append((rep[low + k], rep[low + h]))
+                            now[now == now[h]] = now[k]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    rows = units.join(reps.select("rep", "sig"), "rep").join(sets, "rep").select("node", "rep", "label", "side", "i", "j", "sig", "shingles")
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "a long, b long")
+
+
+def _audit_pairs(reps: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of ``most`` documents, drawn by a hash, with all whose signatures agree enough."""
+    drawn = reps.orderBy(F.xxhash64(F.lit(11), F.col("rep"))).limit(most).select("rep", "sig").collect()
+    names, asked = np.array([r["rep"] for r in drawn], dtype=np.int64), _signatures([bytes(r["sig"]) for r in drawn])
+    least = LEAST_AGREEMENT * COORDINATES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def compare(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            ends = np.flatnonzero((np.diff(part["node"].to_numpy()) != 0) | (np.diff(part["i"].to_numpy()) != 0) | (np.diff(part["j"].to_numpy()) != 0)) + 1
-            sig = np.stack(part["sig"].to_numpy())
-            columns = [part[c].to_numpy() for c in ("rep", "label", "mine", "i", "j")]
-            out = []
-            for low, high in zip([0, *ends], [*ends, len(part)]):
-                rep, label, side, i, j = (c[low:high] for c in columns)
-                out += pairs_of(rep, label, sig[low:high], side, i[0] != j[0])
-            if out:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
-
-        held: list[pd.DataFrame] = []
         for frame in frames:
-            if not len(frame):
-                continue
-            held.append(frame)
-            whole = pd.concat(held) if len(held) > 1 else frame
-            last = whole.iloc[-1]
-            same = (whole["node"].to_numpy() == last["node"]) & (whole["i"].to_numpy() == last["i"]) & (whole["j"].to_numpy() == last["j"])
-            if not same.all():
-                yield from compare(whole[~same])
-            held = [whole[same]]
-        if held:
-            yield from compare(held[0])
+            rep, sig = frame["rep"].to_numpy(), _signatures(frame["sig"])
+            for name, one in zip(names, asked):
+                hit = rep[((sig == one).sum(axis=1) >= least) & (rep != name)]
+                yield pd.DataFrame({"a": np.full(len(hit), name), "b": hit})
 
-    ordered = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return ordered.mapInPandas(run, "a long, b long").where("a < b").distinct()
+    return reps.select("rep", "sig").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """Per row: key, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, audit: int = AUDIT) -> DataFrame:
+    """Per row: key, n_shingles, component_id, kept, audit_recall.
 
     Rows link if they share at least ``threshold`` of their joint shingles; component_id
     is the smallest key reachable, kept marks the row whose key that is.  Null, empty and
@@ -232,7 +312,9 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     document; a null key links with nothing and is kept, with a null component.  Texts of
     any length are used whole.  An empty table gives an empty table; columns other than
     key and text are not read.  ``threshold`` should not be below 0.75, for which the
-    margins are chosen.
+    margins are chosen.  audit_recall is the part of the links of ``audit`` documents,
+    compared with all, that are in one component (1.0 where they have none; null if
+    ``audit`` is 0).
     """
     sketches = work.save(sketch(docs, key, text), "sketches")
     some = sketches.where("n_shingles > 0 and doc is not null")
@@ -240,37 +322,35 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     reps = some.join(classes, ["set_a", "set_b"]).where("doc = rep").select("rep", "sig").dropDuplicates(["rep"])
     reps = work.save(reps, "reps")
     members = work.save(leaves(reps, work, trees=trees, leaf=leaf), "members")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text"))
-    all_edges: list[DataFrame] = []
-    all_sets: list[DataFrame] = []
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = work.save(pairs, f"pairs-{name}")
-        wanted = pairs.select(F.col("a").alias("rep")).distinct().union(pairs.select(F.col("b").alias("rep")).distinct()).distinct()
-        for known in all_sets:
-            wanted = wanted.join(known.select("rep"), "rep", "left_anti")
-        wanted = work.save(wanted, f"wanted-{name}")
-        all_sets.append(work.save(_sets(texts, wanted), f"sets-{name}"))
-        sets = all_sets[0]
-        for more in all_sets[1:]:
-            sets = sets.unionByName(more)
-        all_edges.append(work.save(_confirmed(pairs, sets, threshold), f"edges-{name}"))
-        edges = all_edges[0]
-        for more in all_edges[1:]:
-            edges = edges.unionByName(more)
-        return edges
-
-    def hub_pairs(rows: DataFrame, hub: Column) -> DataFrame:
-        chosen = rows.groupBy("node").agg(hub.alias("hub"))
-        pairs = rows.join(chosen, "node").where("rep != hub")
-        return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-    edges = confirm(_agreeing(hub_pairs(members, F.min("rep")), reps), "first")
-    mixed = work.save(_labelled(members, connected_components(edges, work, "parts-first")), "mixed")
-    edges = confirm(_within_leaves(mixed, reps, block), "rest")
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text")).where("rep is not null")
+
+    hubs = members.groupBy("node").agg(F.min("rep").alias("hub"))
+    pairs = members.join(hubs, "node").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = work.save(_agreeing(pairs, reps), "pairs-hub")
+    asked = work.save(_audit_pairs(reps, audit), "pairs-audit") if audit else pairs.limit(0)
+    wanted = pairs.union(asked).select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = work.save(_sets(texts, wanted), "sets-hub")
+    edges = work.save(_confirmed(pairs, sets, threshold), "edges-hub")
+    true = work.save(_confirmed(asked, sets, threshold), "edges-audit") if audit else None
+    mixed = work.save(_labelled(members, connected_components(edges, work, "parts-hub")), "mixed")
+
+    active = work.save(_active(_units(mixed, block), reps), "active")
+    if not active.isEmpty():
+        wanted = active.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
+        sets = sets.unionByName(work.save(_sets(texts, wanted), "sets-rest"))
+        left = mixed.select("node", "rep", "label").join(active, ["node", "rep"], "left_semi")
+        edges = edges.unionByName(work.save(_joining(_units(left, block), reps, sets, threshold), "edges-rest"))
     parts = connected_components(edges, work)
-    own = sketches.join(classes, ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
+    for done in ("sets-hub", "sets-rest", "reps", "members", "mixed", "active"):
+        work.drop(done)
+    recall = None
+    if audit:
+        one, two = (true.join(parts, F.col(end) == parts["node"], "left").select("a", "b", F.coalesce("component", F.col(end)).alias(f"of_{end}")) for end in ("a", "b"))
+        total, found = one.join(two, ["a", "b"]).agg(F.count("*"), F.sum((F.col("of_a") == F.col("of_b")).cast("int"))).first()
+        recall = found / total if total else 1.0
+    own = sketches.select("doc", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     out = own.join(parts, own["rep"] == parts["node"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     out = out.select("doc", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc").isNull() | (F.col("doc") == F.col("component_id"))).withColumnRenamed("doc", key)
+    out = out.withColumn("kept", F.col("doc").isNull() | (F.col("doc") == F.col("component_id"))).withColumn("audit_recall", F.lit(recall).cast("double"))
+    return out.withColumnRenamed("doc", key)

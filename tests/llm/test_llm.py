@@ -232,7 +232,6 @@ def test_weighted_sampling_takes_64_samples(spark, docs, texts):
 
 def test_packing(spark, docs, texts):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     rows = packing.pack_documents(docs, work(spark), RANKS, length=256, group_size=40).collect()
     by_doc, places = {}, {}
     for r in rows:
@@ -349,7 +348,7 @@ def test_importance(spark):
     good, junk = [f"g{i}" for i in range(80)], [f"j{i}" for i in range(80)]
     rows = [(i, " ".join(rng.choices(junk if i % 4 == 0 else good, k=30))) for i in range(200)] + [(500, None), (501, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    ratios = importance.log_ratios(df, df.where("doc_id % 4 = 1"))
+    ratios = importance.log_ratios(df, df.where("doc_id % 4 = 1").select(F.col("doc_id").alias("_good")))
     scored = importance.score(df, ratios)
     values = {r["doc_id"]: r for r in scored.collect()}
     counts = Counter(b for _, t in rows for b in importance.ngram_buckets(t).tolist())
