@@ -39,12 +39,14 @@ from quadrille.llm.common import Workspace
 from quadrille.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.75
-COORDINATES, TREES, DEPTH, LEAF, BLOCK, AUDIT = 256, 3, 14, 64, 256, 32
+COORDINATES, TREES, DEPTH, LEAF, AUDIT = 256, 3, 14, 64, 32
+#: Documents of a block where signatures meet, and where full sets do.
+BLOCK, SET_BLOCK = 2048, 256
 #: A child of at least this part of its parent counts as not shrinking.
 DENSE = 0.7
 #: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less 5 standard errors.
 LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 _ODD = np.random.default_rng(20240229).integers(1 << 62, size=COORDINATES + WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,16 +87,21 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """For every coordinate 16 bits that name the smallest product of a shingle with its odd factor."""
+    """For every coordinate 16 bits that name the smallest product of a shingle with its odd factor: all low bytes, then all high bytes."""
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), 2048):
         np.minimum(low, (shingles[i : i + 2048, None] * _ODD[None, :COORDINATES]).min(axis=0), out=low)
-    return (low * _MIX >> np.uint64(48)).astype("<u2")
+    return (low * _MIX >> np.uint64(48)).astype("<u2").view(np.uint8).reshape(-1, 2).T.copy()
 
 
 def _signatures(packed) -> np.ndarray:
-    """A row of COORDINATES numbers for each packed signature."""
-    return np.frombuffer(b"".join(packed), dtype="<u2").reshape(-1, COORDINATES)
+    """A row of COORDINATES bytes for each packed half of a signature."""
+    return np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, COORDINATES)
+
+
+def _low(reps: DataFrame) -> DataFrame:
+    """(rep, sig) with the low bytes alone, for estimates: other coordinates agree by chance in one case of 256."""
+    return reps.select("rep", F.substring("sig", 1, COORDINATES).alias("sig"))
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,7 +124,7 @@ def _children(node: str | Column, seed: int) -> Column:
     """The two children of a node that a document with signature ``sig`` goes to."""
     first = F.pmod(F.xxhash64(F.lit(seed), node), F.lit(COORDINATES))
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(seed + 1), node), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
-    return F.array(*[F.xxhash64(node, i, F.substring("sig", (2 * i + 1).cast("int"), F.lit(2))) for i in (first, second)])
+    return F.array(*[F.xxhash64(node, i, F.substring("sig", (i + 1).cast("int"), F.lit(1)), F.substring("sig", (i + 1 + COORDINATES).cast("int"), F.lit(1))) for i in (first, second)])
 
 
 def leaves(reps: DataFrame, work: Workspace, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
@@ -141,8 +148,8 @@ def leaves(reps: DataFrame, work: Workspace, trees: int = TREES, depth: int = DE
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough."""
-    one = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    two = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    one = _low(reps).select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
+    two = _low(reps).select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     least = LEAST_AGREEMENT * COORDINATES
 
     @F.pandas_udf("boolean")
@@ -261,7 +268,7 @@ def _active(units: DataFrame, reps: DataFrame) -> DataFrame:
                     met[low + k] = met[low + hit] = True
             yield pd.DataFrame({"node": node[met], "rep": rep[met]})
 
-    rows = units.join(reps.select("rep", "sig"), "rep").select("node", "rep", "label", "side", "i", "j", "sig")
+    rows = units.join(_low(reps), "rep").select("node", "rep", "label", "side", "i", "j", "sig")
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "node long, rep long").distinct()
 
 
@@ -283,13 +290,13 @@ def _joining(units: DataFrame, reps: DataFrame, sets: DataFrame, threshold: floa
                             now[now == now[h]] = now[k]
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    rows = units.join(reps.select("rep", "sig"), "rep").join(sets, "rep").select("node", "rep", "label", "side", "i", "j", "sig", "shingles")
+    rows = units.join(_low(reps), "rep").join(sets, "rep").select("node", "rep", "label", "side", "i", "j", "sig", "shingles")
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "a long, b long")
 
 
 def _audit_pairs(reps: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of ``most`` documents, drawn by a hash, with all whose signatures agree enough."""
-    drawn = reps.orderBy(F.xxhash64(F.lit(11), F.col("rep"))).limit(most).select("rep", "sig").collect()
+    drawn = _low(reps.orderBy(F.xxhash64(F.lit(11), F.col("rep"))).limit(most)).collect()
     names, asked = np.array([r["rep"] for r in drawn], dtype=np.int64), _signatures([bytes(r["sig"]) for r in drawn])
     least = LEAST_AGREEMENT * COORDINATES
 
@@ -300,10 +307,10 @@ def _audit_pairs(reps: DataFrame, most: int) -> DataFrame:
                 hit = rep[((sig == one).sum(axis=1) >= least) & (rep != name)]
                 yield pd.DataFrame({"a": np.full(len(hit), name), "b": hit})
 
-    return reps.select("rep", "sig").mapInPandas(run, "a long, b long")
+    return _low(reps).mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, audit: int = AUDIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, set_block: int = SET_BLOCK, audit: int = AUDIT) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept, audit_recall.
 
     Rows link if they share at least ``threshold`` of their joint shingles; component_id
@@ -339,7 +346,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
         wanted = active.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
         sets = sets.unionByName(work.save(_sets(texts, wanted), "sets-rest"))
         left = mixed.select("node", "rep", "label").join(active, ["node", "rep"], "left_semi")
-        edges = edges.unionByName(work.save(_joining(_units(left, block), reps, sets, threshold), "edges-rest"))
+        edges = edges.unionByName(work.save(_joining(_units(left, set_block), reps, sets, threshold), "edges-rest"))
     parts = connected_components(edges, work)
     for done in ("sets-hub", "sets-rest", "reps", "members", "mixed", "active"):
         work.drop(done)

@@ -28,7 +28,7 @@ from quadrille.llm.common import unit_interval
 BUCKETS = 1 << 17
 #: Labelled documents, chosen by a hash of their key, that the target model counts and that the cut is set by.
 MAX_TARGET, MAX_CALIBRATION = 20_000, 20_000
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 
 
 class _WordNumbers(dict):

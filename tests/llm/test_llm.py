@@ -104,8 +104,8 @@ def test_near_duplicates_are_all_links(spark, docs, texts):
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     want = components(len(texts), links)
-    for leaf, block in ((64, 512), (2, 4)):
-        got = {r["doc_id"]: r for r in chosen_path.near_duplicates(docs, work(spark), leaf=leaf, block=block, trees=4).collect()}
+    for leaf, block in ((64, 512), (2, 4)):  # small blocks: many units a leaf
+        got = {r["doc_id"]: r for r in chosen_path.near_duplicates(docs, work(spark), leaf=leaf, block=block, set_block=max(2, block // 2), trees=4).collect()}
         assert [got[i]["component_id"] for i in range(len(texts))] == want
         assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
         assert all(got[i]["kept"] == (want[i] == i) for i in got)
