@@ -30,9 +30,9 @@ def _unit(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + F.lit(0.5)) * F.lit(2.0**-width)
 
 
-def packed_sample(term: Column, log_weight: Column, k: int) -> Column:
+def packed_sample(term: Column, log_weight: Column, k: Column) -> Column:
     """A long whose order is that of a and whose low 16 bits name (term, t)."""
-    one = F.xxhash64(term, F.lit(k))
+    one = F.xxhash64(term, k)
     two = F.xxhash64(one)
     r = -F.ln(_unit(one, 0, 20) * _unit(one, 20, 20))  # the sum of two exponential draws
     c = F.ln(-F.ln(_unit(two, 0, 24) * _unit(two, 24, 24)))
@@ -49,16 +49,14 @@ def _sketches(rows: DataFrame, keys: list[str], sides: list[str], samples: int)
     terms = texts.select(*keys, "s.side", F.explode(F.split("s.text", r"\s+")).alias("word")).where("word != ''")
     terms = terms.select(*keys, "side", F.xxhash64("word").alias("term"))
     weights = terms.groupBy(*keys, "side", "term").agg(F.ln(F.count("*")).alias("w"))
-    least = [F.min(packed_sample(F.col("term"), F.col("w"), k)).alias(f"m_{k}") for k in range(samples)]
-    found = weights.groupBy(*keys, "side").agg(*least)
-
-    def packed(j: int) -> Column:
-        low = [F.col(f"m_{k}").bitwiseAND(F.lit(0xFFFF)) for k in range(4 * j, 4 * j + 4)]
-        return F.shiftleft(low[0], 48).bitwiseOR(F.shiftleft(low[1], 32)).bitwiseOR(F.shiftleft(low[2], 16)).bitwiseOR(low[3])
-
+    # a lane of four samples a row: one aggregation of all would be too large a method to be compiled
     lanes = range(samples // 4)
-    found = found.select(*keys, "side", *[packed(j).alias(f"p_{j}") for j in lanes])
-    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == i, F.col(f"p_{j}"))).alias(f"p{i}_{j}") for i in range(len(sides)) for j in lanes])
+    rows = weights.select(*keys, "side", "term", "w", F.explode(F.array(*map(F.lit, lanes))).alias("lane"))
+    least = [F.min(packed_sample(F.col("term"), F.col("w"), F.col("lane") * 4 + k)).alias(f"m_{k}") for k in range(4)]
+    found = rows.groupBy(*keys, "side", "lane").agg(*least)
+    low = [F.col(f"m_{k}").bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
+    found = found.select(*keys, "side", "lane", F.shiftleft(low[0], 48).bitwiseOR(F.shiftleft(low[1], 32)).bitwiseOR(F.shiftleft(low[2], 16)).bitwiseOR(low[3]).alias("p"))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when((F.col("side") == i) & (F.col("lane") == j), F.col("p"))).alias(f"p{i}_{j}") for i in range(len(sides)) for j in lanes])
     return wide.select(*keys, *[F.when(F.col(f"p{i}_0").isNotNull(), F.array(*[F.col(f"p{i}_{j}") for j in lanes])).alias(f"sketch{i}") for i in range(len(sides))])
 
 
