@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from quadrille import access, canonical, entailment, events, shacl
 from quadrille.catalogue import PREFIXES, dataset
 from quadrille.engine import Engine
 from quadrille.plans.compiler import Compiler
+from quadrille.plans.cut import shared_folder
 from quadrille.plans.parser import parse_query
 from quadrille.sources import rdf
 from quadrille.store import Store
@@ -22,8 +22,7 @@ from quadrille.update import Updater
 
 
 def folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quadrille-")
-    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

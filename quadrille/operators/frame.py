@@ -61,8 +61,13 @@ class Frame:
         return frame, {n: Value(frame.col(n), r, lanes=lanes.get(n)) for n, r in self.reps.items()}
 
     def bind(self, name: str, value: Value) -> Frame:
-        rep, col = (TERM, value.term) if value.kind == "number" else (value.rep, value.col)
-        return replace(self, df=self.df.withColumn(column_of(name), col), reps={**self.reps, name: rep})
+        if value.kind != "number":
+            return replace(self, df=self.df.withColumn(column_of(name), value.col), reps={**self.reps, name: value.rep})
+        # the number's term is a large expression that others would take apart again: made by a
+        # generator it is a value that the optimiser does not copy into what reads it
+        kept = [F.col(f"`{c}`") for c in self.df.columns if c != column_of(name)]
+        df = self.df.select(*kept, F.explode(F.array(value.term)).alias(column_of(name)))
+        return replace(self, df=df, reps={**self.reps, name: TERM})
 
 
 def agreed(a: Frame, b: Frame) -> tuple[Frame, Frame]:

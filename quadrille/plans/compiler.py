@@ -8,7 +8,7 @@ terms, and the fixpoints of paths.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +31,13 @@ class ServiceRefused(RuntimeError):
     pass
 
 
+@dataclass(frozen=True, eq=False)
+class Rows(A.Values):
+    """The values that outer rows have for some variables, as a pattern."""
+
+    frame: Frame = None
+
+
 @dataclass
 class Compiler:
     spark: SparkSession
@@ -136,6 +143,9 @@ class Compiler:
         frame = Frame(df, dict.fromkeys(node.names, TERM), frozenset(A.certain(node)))
         return joins.join(frame, self._unit(graph)) if graph.kind == "any" else frame
 
+    def _rows(self, node: Rows, graph: ActiveGraph) -> Frame:
+        return joins.join(node.frame, self._unit(graph)) if graph.kind == "any" else node.frame
+
     # --- combinations -------------------------------------------------------------
 
     def _join(self, node: A.Join, graph: ActiveGraph) -> Frame:
@@ -195,12 +205,40 @@ class Compiler:
         return lambda values: self._expressions(values).condition(condition)
 
     def _hoisted(self, pattern: A.Node, frame: Frame) -> tuple[A.Node, A.Node | None]:
-        """A pattern's own filter that reads variables of the outer row, apart from the pattern."""
-        if isinstance(pattern, A.Filter):
-            inside = A.certain(pattern.inner)
+        """An EXISTS pattern that reads outer rows, with its own filter apart where that can be part of the join."""
+        if isinstance(pattern, A.Filter) and not _has_exists(pattern.condition):
+            inner = self._correlated(pattern.inner, frame)
+            inside = A.certain(inner)
             if any(v not in inside and v in frame.reps for v in A.expression_variables(pattern.condition)):
-                return pattern.inner, pattern.condition
-        return pattern, None
+                return inner, pattern.condition
+            return replace(pattern, inner=inner), None
+        return self._correlated(pattern, frame), None
+
+    def _correlated(self, pattern: A.Node, frame: Frame) -> A.Node:
+        """The pattern with the distinct outer values joined in wherever an expression reads a variable that only outer rows bind.
+
+        Sub-queries have a scope of their own and stay as they are.
+        """
+
+        def known(inner: A.Node, *expressions: A.Node | None) -> A.Node:
+            read = set().union(*map(_mentioned, [e for e in expressions if e is not None]))
+            names = sorted((read & set(frame.reps)) - A.certain(inner) - {GRAPH})
+            if not names:
+                return inner
+            rows = frame.select(names)
+            return A.Join(Rows(tuple(names), (), Frame(rows.df.distinct(), rows.reps, rows.certain)), inner)
+
+        if isinstance(pattern, A.Filter):
+            return replace(pattern, inner=known(self._correlated(pattern.inner, frame), pattern.condition))
+        if isinstance(pattern, A.Extend):
+            return replace(pattern, inner=known(self._correlated(pattern.inner, frame), pattern.value))
+        if isinstance(pattern, A.LeftJoin):
+            return replace(pattern, left=known(self._correlated(pattern.left, frame), pattern.condition), right=self._correlated(pattern.right, frame))
+        if isinstance(pattern, (A.Join, A.Union, A.Minus)):
+            return replace(pattern, left=self._correlated(pattern.left, frame), right=self._correlated(pattern.right, frame))
+        if isinstance(pattern, A.Graph):
+            return replace(pattern, inner=self._correlated(pattern.inner, frame))
+        return pattern
 
     def _filter(self, node: A.Filter, graph: ActiveGraph) -> Frame:
         frame = self.compile(node.inner, graph)
@@ -293,6 +331,17 @@ def _conjuncts(e: A.Node) -> list[A.Node]:
     return [x for a in e.args for x in _conjuncts(a)] if isinstance(e, A.Call) and e.name == "&&" else [e]
 
 
+def _has_exists(e: A.Node) -> bool:
+    return isinstance(e, A.Exists) or any(map(_has_exists, A.children(e)))
+
+
+def _mentioned(node: A.Node) -> set[str]:
+    """All variables that an expression reads, those in the expressions of its EXISTS patterns included."""
+    if isinstance(node, A.Var):
+        return {node.name}
+    return {v for v in A.variables(node) if not v.startswith("_:")}.union(*map(_mentioned, A.children(node)))
+
+
 def _read(e: A.Node) -> set[str]:
     """Variables whose parts an expression needs, not only the term."""
     if isinstance(e, A.Call):

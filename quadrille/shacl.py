@@ -182,7 +182,7 @@ class Validator:
         for head in get.all(shape, "in"):
             each("InConstraintComponent", F.col("value").isin(get.list(head)))
         self._counts(shape, focus, values, report)
-        self._pairs(shape, values, report)
+        self._pairs(shape, focus, values, report)
         for head in get.all(shape, "hasValue"):
             having = values.where(F.col("value") == head).select("focus")
             report(focus.join(having, "focus", "left_anti"), "HasValueConstraintComponent")
@@ -193,7 +193,7 @@ class Validator:
             allowed = [get.one(p, "path") for p in get.all(shape, "property")] + [x for h in get.all(shape, "ignoredProperties") for x in get.list(h)]
             extra = focus.join(self.data, F.col("focus") == F.col("s")).where(~F.col("p").isin([a for a in allowed if a]))
             report(extra.select("focus", F.col("o").alias("value")), "ClosedConstraintComponent")
-        self._logic(shape, values, report, above)
+        self._logic(shape, focus, values, report, above)
         for inner in get.all(shape, "property"):
             nodes = values.select(F.col("value").alias("focus")).distinct()
             found.append(self.check(inner, nodes, above))
@@ -232,15 +232,14 @@ class Validator:
         if high is not None:
             report(counted.where(F.col("n") > high).select("focus"), "MaxCountConstraintComponent")
 
-    def _pairs(self, shape: str, values: DataFrame, report: Callable) -> None:
+    def _pairs(self, shape: str, focus: DataFrame, values: DataFrame, report: Callable) -> None:
         for name in ("equals", "disjoint", "lessThan", "lessThanOrEquals"):
             for predicate in self.shapes.all(shape, name):
                 component = f"{name[0].upper()}{name[1:]}ConstraintComponent"
                 other = self.data.where(F.col("p") == predicate).select(F.col("s").alias("focus"), F.col("o").alias("value"))
                 if name == "equals":
-                    focus = self.targets(shape) if self.shapes.one(shape, "path") is None else values.select("focus").distinct()
                     report(values.join(other, ["focus", "value"], "left_anti"), component)
-                    report(other.join(focus, "focus", "left_semi").join(values, ["focus", "value"], "left_anti"), component)
+                    report(other.distinct().join(focus, "focus", "left_semi").join(values, ["focus", "value"], "left_anti"), component)
                 elif name == "disjoint":
                     report(values.join(other, ["focus", "value"], "left_semi"), component)
                 else:
@@ -248,7 +247,7 @@ class Validator:
                     good = V.compare("<" if name == "lessThan" else "<=", Value(F.col("value"), TERM), Value(F.col("other"), TERM))
                     report(pairs.where(~F.coalesce(good, F.lit(False))).select("focus", "value"), component)
 
-    def _logic(self, shape: str, values: DataFrame, report: Callable, above: tuple[str, ...]) -> None:
+    def _logic(self, shape: str, focus: DataFrame, values: DataFrame, report: Callable, above: tuple[str, ...]) -> None:
         get = self.shapes
         nodes = values.select(F.col("value").alias("focus")).distinct()
 
@@ -268,7 +267,7 @@ class Validator:
                 report(joined.where(test).select("focus", "value"), f"{name.capitalize()}ConstraintComponent")
         for inner in get.all(shape, "qualifiedValueShape"):
             good = values.join(bad(inner), "value", "left_anti").groupBy("focus").agg(F.count("*").alias("n"))
-            counted = values.select("focus").distinct().join(good, "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            counted = focus.select("focus").distinct().join(good, "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
             low, high = get.number(shape, "qualifiedMinCount"), get.number(shape, "qualifiedMaxCount")
             if low is not None:
                 report(counted.where(F.col("n") < low).select("focus"), "QualifiedMinCountConstraintComponent")

@@ -6,6 +6,7 @@ A Turtle document has to be read from its start: one task reads one file.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import count
@@ -64,14 +65,18 @@ def parse_nquad(line: str, scope: str = "") -> tuple[str, str, str, str | None]
 
 
 def read_nquads(spark: SparkSession, path: str, skip_errors: bool = False) -> DataFrame:
-    """(s, p, o, g) of N-Triples or N-Quads files; lines that do not parse are skipped or stop the query."""
+    """(s, p, o, g) of N-Triples or N-Quads files; lines that do not parse are skipped or stop the query.
+
+    A blank label is one node within a file.  The part files of one folder, as Spark writes
+    them, are one file.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for line, file in zip(frame["value"], frame["file"]):
                 try:
-                    found = parse_nquad(line, f"f{abs(_stable(file)):x}x")
+                    found = parse_nquad(line, f"f{_stable(_PART.sub('', file))}x")
                 except RdfSyntaxError:
                     if not skip_errors:
                         raise
@@ -84,10 +89,11 @@ def read_nquads(spark: SparkSession, path: str, skip_errors: bool = False) -> Da
     return lines.mapInPandas(run, SCHEMA)
 
 
-def _stable(text: str) -> int:
-    import zlib
+_PART = re.compile(r"/part-[^/]*$")
+
 
-    return zlib.crc32(text.encode())
+def _stable(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:20]
 
 
 _TTL = re.compile(
@@ -303,7 +309,7 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame(parse_turtle(bytes(content).decode("utf-8"), file, f"f{_stable(file):x}x"), columns=list("spog"))
+                yield pd.DataFrame(parse_turtle(bytes(content).decode("utf-8"), file, f"f{_stable(file)}x"), columns=list("spog"))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -51,6 +52,8 @@ class Commit:
     retracted: int = 0
     content: str = ""
     previous: str = ""
+    #: The folder of its changes under the position; that of a writer who lost the position is never read.
+    part: str = ""
 
 
 @dataclass(frozen=True)
@@ -150,7 +153,7 @@ class Store:
 
     def commits(self) -> DataFrame:
         """A row for each visible commit."""
-        schema = "position long, kind string, timestamp string, agent string, cause string, key string, attachments array<string>, graphs array<string>, asserted long, retracted long, content string, previous string"
+        schema = "position long, kind string, timestamp string, agent string, cause string, key string, attachments array<string>, graphs array<string>, asserted long, retracted long, content string, previous string, part string"
         if not self.head():
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json(f"{self.path}/commits/*.json").where(F.col("position") <= self.head())
@@ -161,10 +164,12 @@ class Store:
         """(position, op, quad) of the commits in (after, to]."""
         to = self.head() if to is None else to
         schema = "op string, s string, p string, o string, g string"
-        if to <= after:
+        if min(to, self.head()) <= after:
             return self.spark.createDataFrame([], "position long, " + schema)
-        df = self.spark.read.schema(schema + ", pos long").option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
-        return df.where((F.col("pos") > after) & (F.col("pos") <= to)).select(F.col("pos").alias("position"), "op", *QUAD)
+        df = self.spark.read.schema(schema + ", pos long, part string").option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
+        df = df.where((F.col("pos") > after) & (F.col("pos") <= to)).withColumnRenamed("pos", "position")
+        won = self.commits().where((F.col("position") > after) & (F.col("position") <= to)).select("position", "part")
+        return df.join(won, ["position", "part"]).select("position", "op", *QUAD)
 
     def checkpoints(self) -> list[int]:
         jvm, fs = self._fs()
@@ -234,12 +239,15 @@ class Store:
             operations = operations.withColumn("seq", F.lit(0))
         last = operations.groupBy(*QUAD).agg(F.max_by("op", F.struct("seq", F.col("op"))).alias("op"))
         effective = _without(last.where("op = '+'"), state).unionByName(_within(last.where("op = '-'"), state)).select("op", *QUAD)
-        folder = f"{self.path}/changes/pos={head + 1}"
+        # a folder of its own: two writers may both write for this position before one wins it
+        part = uuid.uuid4().hex
+        name = f"changes/pos={head + 1}/part={part}"
+        folder = f"{self.path}/{name}"
         effective.write.mode("overwrite").parquet(folder)
         delta = self.spark.read.schema("op string, s string, p string, o string, g string").parquet(folder)
         counts = {r["op"]: r["n"] for r in delta.groupBy("op").agg(F.count("*").alias("n")).collect()}
         if not counts and kind == "data":
-            self._fs()[1].delete(self._path(f"changes/pos={head + 1}"), True)
+            self._fs()[1].delete(self._path(name), True)
             return Outcome("no change", head)
         graphs = [r[0] or DEFAULT_GRAPH for r in delta.select("g").distinct().collect()]
         if writable is not None and set(graphs) - set(writable):
@@ -252,8 +260,9 @@ class Store:
                     raise Rejected(verdict)
         before = self.commit(head)
         now = self.clock().isoformat()
-        record = Commit(head + 1, kind, max(now, before.timestamp) if before else now, agent, cause, key, tuple(attachments), tuple(sorted(graphs)), counts.get("+", 0), counts.get("-", 0), content_hash(delta), _digest(before))
+        record = Commit(head + 1, kind, max(now, before.timestamp) if before else now, agent, cause, key, tuple(attachments), tuple(sorted(graphs)), counts.get("+", 0), counts.get("-", 0), content_hash(delta), _digest(before), part)
         if not self._publish(f"commits/{head + 1:012d}.json", json.dumps(vars(record), sort_keys=True)):
+            self._fs()[1].delete(self._path(name), True)
             raise Conflict(f"position {head + 1} was taken")
         return Outcome("committed", head + 1)
 

@@ -132,6 +132,29 @@ def test_shacl(spark, tmp_path):
     assert store.head() == 0
 
 
+def test_shacl_counts_focus_nodes_without_values(spark):
+    shapes = "@prefix e: <urn:e:> . @prefix sh: <http://www.w3.org/ns/shacl#> . e:S a sh:NodeShape ; sh:targetClass e:P ; sh:property [ sh:path e:k ; sh:qualifiedValueShape [ sh:class e:P ] ; sh:qualifiedMinCount 1 ] , [ sh:path e:m ; sh:equals e:n ] ."
+    people = "@prefix e: <urn:e:> . e:a a e:P ; e:k e:b . e:b a e:P . e:c a e:P ; e:k e:a ; e:n e:z . e:d a e:P ; e:k e:c ; e:m e:z ; e:n e:z ."
+    data = spark.createDataFrame([q[:3] for q in rdf.parse_turtle(people)], "s string, p string, o string")
+    report = sorted((r["focus"][7:-1], r["component"].rpartition("#")[2][:-20]) for r in shacl.validate(spark, data, rdf.parse_turtle(shapes)).collect())
+    assert report == [("b", "QualifiedMinCount"), ("c", "Equals")]
+
+
+def test_a_writer_that_loses_the_position_leaves_the_winner_alone(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    rows = lambda x: spark.createDataFrame([("<urn:a>", "<urn:p>", x, None)], SCHEMA)
+    publish = two._publish
+
+    def late(name, text):
+        one.insert(rows("<urn:one>"))
+        return publish(name, text)
+
+    two._publish = late
+    with pytest.raises(Conflict):
+        two.insert(rows("<urn:two>"))
+    assert one.head() == 1 and [r["o"] for r in one.quads().collect()] == ["<urn:one>"] and one.verify() == []
+
+
 def test_entailment_equals_materialisation(spark):
     text = "@prefix e: <urn:e:> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> . e:Room r:subClassOf e:Space . e:Space r:subClassOf e:Thing . e:hasRoom r:domain e:Building ; r:range e:Room . e:main r:subPropertyOf e:hasRoom . e:r1 a e:Room . e:b1 e:main e:r2 ."
     quads = spark.createDataFrame(rdf.parse_turtle(text), SCHEMA)
