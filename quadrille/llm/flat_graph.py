@@ -44,23 +44,24 @@ def prepare(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     negative zero counts as zero.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for value in frame["_vector"]:
-                v = np.array([], dtype=np.float64) if value is None else np.asarray([np.nan if x is None else x for x in value], dtype=np.float64) + 0.0
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scale = np.abs(v).max() if len(v) else 0.0
-                    good = len(v) > 0 and np.isfinite(v).all() and scale > 0
-                if good:
-                    a, b = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), dtype="<i8").tolist()
-                    unit = v / scale
-                    rows.append((len(v), a, b, (unit / np.sqrt(unit @ unit)).tobytes()))
-                else:
-                    rows.append((0, None, None, None))
-            yield pd.concat([frame[["id"]], pd.DataFrame(rows, columns=["dims", "a", "b", "unit"], index=frame.index)], axis=1)
-
-    return vectors.select(F.col(key).alias("id"), F.col(vector).alias("_vector")).mapInPandas(run, "id long, dims int, a long, b long, unit binary")
+    # keys stay out of Python, so a null key can't change the kind of the others
+    @F.pandas_udf("struct<dims int, a long, b long, unit binary>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value in values:
+            v = np.array([], dtype=np.float64) if value is None else np.asarray([np.nan if x is None else x for x in value], dtype=np.float64) + 0.0
+            with np.errstate(over="ignore", invalid="ignore"):
+                scale = np.abs(v).max() if len(v) else 0.0
+                good = len(v) > 0 and np.isfinite(v).all() and scale > 0
+            if good:
+                a, b = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), dtype="<i8").tolist()
+                unit = v / scale
+                rows.append((len(v), a, b, (unit / np.sqrt(unit @ unit)).tobytes()))
+            else:
+                rows.append((0, 0, 0, None))
+        return pd.DataFrame(rows, columns=["dims", "a", "b", "unit"])
+
+    return vectors.select(F.col(key).cast("long").alias("id"), run(F.col(vector)).alias("_v")).select("id", "_v.*")
 
 
 def _matrix(units) -> np.ndarray:
