@@ -39,13 +39,16 @@ from quadrille.llm.common import Workspace
 from quadrille.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.75
-COORDINATES, TREES, DEPTH, LEAF, AUDIT = 256, 3, 14, 64, 32
+COORDINATES, TREES, DEPTH, LEAF, AUDIT = 256, 3, 14, 256, 32
 #: Documents of a block where signatures meet, and where full sets do.
 BLOCK, SET_BLOCK = 2048, 256
 #: A child of at least this part of its parent counts as not shrinking.
 DENSE = 0.7
-#: Pairs whose signatures agree in a smaller part are not confirmed: the threshold less 5 standard errors.
-LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
+#: Bits of a coordinate in the short signature; those of unlike documents agree in one case of 16.
+SHORT_BITS = 4
+_AGREEING = THRESHOLD + (1 - THRESHOLD) * 0.5**SHORT_BITS
+#: Pairs whose short signatures agree in fewer coordinates are not confirmed: what the threshold leads to, less 5 standard errors.
+LEAST_AGREEING = COORDINATES * (_AGREEING - 5 * (_AGREEING * (1 - _AGREEING) / COORDINATES) ** 0.5)
 _REMEMBERED = 100_000
 _ODD = np.random.default_rng(20240229).integers(1 << 62, size=COORDINATES + WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,28 +97,39 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low * _MIX >> np.uint64(48)).astype("<u2").view(np.uint8).reshape(-1, 2).T.copy()
 
 
-def _signatures(packed) -> np.ndarray:
-    """A row of COORDINATES bytes for each packed half of a signature."""
-    return np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, COORDINATES)
+def short(sig: np.ndarray) -> np.ndarray:
+    """SHORT_BITS bits of each coordinate of a signature, two coordinates a byte."""
+    low = sig[0].reshape(-1, 2) & 0x0F
+    return low[:, 0] | low[:, 1] << 4
 
 
-def _low(reps: DataFrame) -> DataFrame:
-    """(rep, sig) with the low bytes alone, for estimates: other coordinates agree by chance in one case of 256."""
-    return reps.select("rep", F.substring("sig", 1, COORDINATES).alias("sig"))
+def _shorts(packed) -> np.ndarray:
+    """A row of 64-bit words for each packed short signature."""
+    return np.frombuffer(b"".join(packed), dtype=np.uint64).reshape(-1, COORDINATES * SHORT_BITS // 64)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates the rows of x and y agree."""
+    differ = x ^ y
+    differ |= differ >> np.uint64(2)
+    differ |= differ >> np.uint64(1)
+    differ &= np.uint64(0x1111111111111111)
+    return COORDINATES - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: doc, n_shingles, two digests of the set, the packed signature."""
+    """Per document: doc, n_shingles, two digests of the set, the packed signature and the short one."""
 
     # keys stay out of Python, so a null key can't change the kind of the others
-    @F.pandas_udf("struct<n_shingles long, set_a long, set_b long, sig binary>")
+    @F.pandas_udf("struct<n_shingles long, set_a long, set_b long, sig binary, short binary>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for value in texts:
             shingles = shingle_set(value)
             digest = xxhash.xxh3_128_digest(shingles.tobytes())
-            rows.append((len(shingles), *np.frombuffer(digest, dtype="<i8").tolist(), signature(shingles).tobytes()))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "sig"])
+            sig = signature(shingles)
+            rows.append((len(shingles), *np.frombuffer(digest, dtype="<i8").tolist(), sig.tobytes(), short(sig).tobytes()))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "sig", "short"])
 
     return docs.select(F.col(key).cast("long").alias("doc"), run(F.col(text)).alias("_s")).select("doc", "_s.*")
 
@@ -146,17 +160,16 @@ def leaves(reps: DataFrame, work: Workspace, trees: int = TREES, depth: int = DE
     return found
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree enough."""
-    one = _low(reps).select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    two = _low(reps).select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    least = LEAST_AGREEMENT * COORDINATES
+def _agreeing(pairs: DataFrame, shorts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough; ``shorts`` has rep and short."""
+    one = shorts.select(F.col("rep").alias("a"), F.col("short").alias("short_a"))
+    two = shorts.select(F.col("rep").alias("b"), F.col("short").alias("short_b"))
 
     @F.pandas_udf("boolean")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series((_signatures(x) == _signatures(y)).sum(axis=1) >= least)
+        return pd.Series(agreeing(_shorts(x), _shorts(y)) >= LEAST_AGREEING)
 
-    return pairs.join(one, "a").join(two, "b").where(agree("sig_a", "sig_b")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(agree("short_a", "short_b")).select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,12 +223,13 @@ def _units(members: DataFrame, block: int) -> DataFrame:
     leaf's largest component.  Documents outside it and those inside are cut into blocks;
     every block of the former meets every block of either kind once.  A unit holds two
     blocks, and a few strays in a large leaf copy its other members only as often as there
-    are blocks of strays.
+    are blocks of strays.  A leaf of no more than a block is one unit, with all on one side.
     """
     sizes = members.groupBy("node", "label").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("node", F.col("top.label").alias("major"), F.col("top.n").alias("inside"), (F.col("all") - F.col("top.n")).alias("outside"))
-    outer, inner = F.ceil(F.col("outside") / block), F.ceil(F.col("inside") / block)
-    is_outer = F.col("label") != F.col("major")
+    fits = F.col("inside") + F.col("outside") <= block
+    outer, inner = F.when(fits, F.lit(1)).otherwise(F.ceil(F.col("outside") / block)), F.when(fits, F.lit(0)).otherwise(F.ceil(F.col("inside") / block))
+    is_outer = fits | (F.col("label") != F.col("major"))
     rows = members.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(is_outer, outer).otherwise(inner)))
     number = lambda low, high: F.filter(F.sequence(F.least(low, high), high), lambda x: x >= low)
     zero = F.lit(0).cast("long")
@@ -245,40 +259,39 @@ def _unit_frames(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame,
 
 def _candidates(sig: np.ndarray, label: np.ndarray, side: np.ndarray, inside: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each document on side 0 the documents of the unit that it may link with, of other labels as they are then."""
-    least = LEAST_AGREEMENT * COORDINATES
     others = np.flatnonzero(side == 1)
     for k in np.flatnonzero(side == 0).tolist():
         among = np.arange(k + 1, len(side)) if inside else others
         among = among[label[among] != label[k]]
         if len(among):
-            hit = among[(sig[among] == sig[k]).sum(axis=1) >= least]
+            hit = among[agreeing(sig[among], sig[k]) >= LEAST_AGREEING]
             if len(hit):
                 yield k, hit
 
 
-def _active(units: DataFrame, reps: DataFrame) -> DataFrame:
+def _active(units: DataFrame, shorts: DataFrame) -> DataFrame:
     """(node, rep) of the members that have a candidate in some unit."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ranges in _unit_frames(frames):
-            sig, (node, rep, label, side, i, j) = _signatures(frame["sig"]), (frame[c].to_numpy() for c in ("node", "rep", "label", "side", "i", "j"))
+            sig, (node, rep, label, side, i, j) = _shorts(frame["short"]), (frame[c].to_numpy() for c in ("node", "rep", "label", "side", "i", "j"))
             met = np.zeros(len(frame), dtype=bool)
             for low, high in ranges:
                 for k, hit in _candidates(sig[low:high], label[low:high], side[low:high], i[low] == j[low]):
                     met[low + k] = met[low + hit] = True
             yield pd.DataFrame({"node": node[met], "rep": rep[met]})
 
-    rows = units.join(_low(reps), "rep").select("node", "rep", "label", "side", "i", "j", "sig")
+    rows = units.join(shorts, "rep").select("node", "rep", "label", "side", "i", "j", "short")
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "node long, rep long").distinct()
 
 
-def _joining(units: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _joining(units: DataFrame, shorts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join components of a unit, confirmed on full sets."""
     percent = round(100 * threshold)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ranges in _unit_frames(frames):
-            sig, (rep, label, side, i, j) = _signatures(frame["sig"]), (frame[c].to_numpy() for c in ("rep", "label", "side", "i", "j"))
+            sig, (rep, label, side, i, j) = _shorts(frame["short"]), (frame[c].to_numpy() for c in ("rep", "label", "side", "i", "j"))
             shingles = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
             found = []
             for low, high in ranges:
@@ -290,24 +303,23 @@ def _joining(units: DataFrame, reps: DataFrame, sets: DataFrame, threshold: floa
                             now[now == now[h]] = now[k]
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    rows = units.join(_low(reps), "rep").join(sets, "rep").select("node", "rep", "label", "side", "i", "j", "sig", "shingles")
+    rows = units.join(shorts, "rep").join(sets, "rep").select("node", "rep", "label", "side", "i", "j", "short", "shingles")
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "a long, b long")
 
 
-def _audit_pairs(reps: DataFrame, most: int) -> DataFrame:
+def _audit_pairs(shorts: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of ``most`` documents, drawn by a hash, with all whose signatures agree enough."""
-    drawn = _low(reps.orderBy(F.xxhash64(F.lit(11), F.col("rep"))).limit(most)).collect()
-    names, asked = np.array([r["rep"] for r in drawn], dtype=np.int64), _signatures([bytes(r["sig"]) for r in drawn])
-    least = LEAST_AGREEMENT * COORDINATES
+    drawn = shorts.orderBy(F.xxhash64(F.lit(11), F.col("rep"))).limit(most).collect()
+    names, asked = np.array([r["rep"] for r in drawn], dtype=np.int64), _shorts([bytes(r["short"]) for r in drawn])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rep, sig = frame["rep"].to_numpy(), _signatures(frame["sig"])
+            rep, sig = frame["rep"].to_numpy(), _shorts(frame["short"])
             for name, one in zip(names, asked):
-                hit = rep[((sig == one).sum(axis=1) >= least) & (rep != name)]
+                hit = rep[(agreeing(sig, one) >= LEAST_AGREEING) & (rep != name)]
                 yield pd.DataFrame({"a": np.full(len(hit), name), "b": hit})
 
-    return _low(reps).mapInPandas(run, "a long, b long")
+    return shorts.mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, set_block: int = SET_BLOCK, audit: int = AUDIT) -> DataFrame:
@@ -323,32 +335,40 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     compared with all, that are in one component (1.0 where they have none; null if
     ``audit`` is 0).
     """
-    sketches = work.save(sketch(docs, key, text), "sketches")
+    sketches = work.save(sketch(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = sketches.where("n_shingles > 0 and doc is not null")
-    classes = work.save(some.groupBy("set_a", "set_b").agg(F.min("doc").alias("rep")), "classes")
-    reps = some.join(classes, ["set_a", "set_b"]).where("doc = rep").select("rep", "sig").dropDuplicates(["rep"])
-    reps = work.save(reps, "reps")
-    members = work.save(leaves(reps, work, trees=trees, leaf=leaf), "members")
+    classes = work.save(some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "row")).alias("least")).select("set_a", "set_b", "least.*"), "classes")
+    # one row of each representative, chosen by numbers alone: signatures are moved at most once
+    rows = classes.groupBy(F.col("doc").alias("rep")).agg(F.min("row").alias("row"))
+    reps = work.save(some.join(rows, "row").select("rep", "sig", "short"), "reps")
+    classes = classes.select("set_a", "set_b", F.col("doc").alias("rep"))
+    sketches = work.save(sketches.select("doc", "n_shingles", "set_a", "set_b"), "sizes")
+    work.drop("sketches")
+    shorts = work.save(reps.select("rep", "short"), "shorts")
+    members = work.save(leaves(reps.select("rep", "sig"), work, trees=trees, leaf=leaf), "members")
+    work.drop("reps")
+    for level in range(DEPTH):
+        work.drop(f"kept-{level}")
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text")).where("rep is not null")
 
     hubs = members.groupBy("node").agg(F.min("rep").alias("hub"))
     pairs = members.join(hubs, "node").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = work.save(_agreeing(pairs, reps), "pairs-hub")
-    asked = work.save(_audit_pairs(reps, audit), "pairs-audit") if audit else pairs.limit(0)
+    pairs = work.save(_agreeing(pairs, shorts), "pairs-hub")
+    asked = work.save(_audit_pairs(shorts, audit), "pairs-audit") if audit else pairs.limit(0)
     wanted = pairs.union(asked).select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = work.save(_sets(texts, wanted), "sets-hub")
     edges = work.save(_confirmed(pairs, sets, threshold), "edges-hub")
     true = work.save(_confirmed(asked, sets, threshold), "edges-audit") if audit else None
     mixed = work.save(_labelled(members, connected_components(edges, work, "parts-hub")), "mixed")
 
-    active = work.save(_active(_units(mixed, block), reps), "active")
+    active = work.save(_active(_units(mixed, block), shorts), "active")
     if not active.isEmpty():
         wanted = active.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
         sets = sets.unionByName(work.save(_sets(texts, wanted), "sets-rest"))
         left = mixed.select("node", "rep", "label").join(active, ["node", "rep"], "left_semi")
-        edges = edges.unionByName(work.save(_joining(_units(left, set_block), reps, sets, threshold), "edges-rest"))
+        edges = edges.unionByName(work.save(_joining(_units(left, set_block), shorts, sets, threshold), "edges-rest"))
     parts = connected_components(edges, work)
-    for done in ("sets-hub", "sets-rest", "reps", "members", "mixed", "active"):
+    for done in ("sets-hub", "sets-rest", "shorts", "members", "mixed", "active"):
         work.drop(done)
     recall = None
     if audit:

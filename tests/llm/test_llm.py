@@ -114,9 +114,18 @@ def test_near_duplicates_are_all_links(spark, docs, texts):
     assert chosen_path.near_duplicates(docs.limit(0), work(spark)).count() == 0
 
 
+def test_short_signatures_count_agreeing_coordinates():
+    rng = np.random.default_rng(7)
+    low = rng.integers(256, size=(2, 40, chosen_path.COORDINATES), dtype=np.uint8)
+    low[1, :20] = np.where(rng.random((20, chosen_path.COORDINATES)) < 0.8, low[0, :20], low[1, :20])
+    one, two = (chosen_path._shorts([chosen_path.short(np.stack([x, x])).tobytes() for x in side]) for side in low)
+    assert chosen_path.agreeing(one, two).tolist() == ((low[0] & 15) == (low[1] & 15)).sum(axis=1).tolist()
+
+
 def test_near_duplicates_with_the_production_trees(spark, docs, texts):
     n = chosen_path.COORDINATES
-    lost = sum(math.comb(n, i) * 0.75**i * 0.25 ** (n - i) for i in range(n) if i < chosen_path.LEAST_AGREEMENT * n)
+    p = 0.75 + 0.25 / 16  # unlike coordinates agree in one case of 16
+    lost = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n) if i < chosen_path.LEAST_AGREEING)
     assert lost < 1e-5  # of the pairs at the threshold, by the signatures
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
