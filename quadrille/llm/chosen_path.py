@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     some = sketches.where("n_shingles > 0 and doc is not null")
     classes = work.save(some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "row")).alias("least")).select("set_a", "set_b", "least.*"), "classes")
     # one row of each representative, chosen by numbers alone: signatures are moved at most once
-    rows = classes.groupBy(F.col("doc").alias("rep")).agg(F.min("row").alias("row"))
+    rows = work.save(classes.groupBy(F.col("doc").alias("rep")).agg(F.min("row").alias("row")), "chosen")
     reps = work.save(some.join(rows, "row").select("rep", "sig", "short"), "reps")
     classes = classes.select("set_a", "set_b", F.col("doc").alias("rep"))
     sketches = work.save(sketches.select("doc", "n_shingles", "set_a", "set_b"), "sizes")
@@ -355,7 +355,8 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     pairs = members.join(hubs, "node").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = work.save(_agreeing(pairs, shorts), "pairs-hub")
     asked = work.save(_audit_pairs(shorts, audit), "pairs-audit") if audit else pairs.limit(0)
-    wanted = pairs.union(asked).select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    # the wanted are tables, so that their size is known before texts would be shuffled to them
+    wanted = work.save(pairs.union(asked).select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted-hub")
     sets = work.save(_sets(texts, wanted), "sets-hub")
     edges = work.save(_confirmed(pairs, sets, threshold), "edges-hub")
     true = work.save(_confirmed(asked, sets, threshold), "edges-audit") if audit else None
@@ -363,7 +364,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
 
     active = work.save(_active(_units(mixed, block), shorts), "active")
     if not active.isEmpty():
-        wanted = active.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
+        wanted = work.save(active.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti"), "wanted-rest")
         sets = sets.unionByName(work.save(_sets(texts, wanted), "sets-rest"))
         left = mixed.select("node", "rep", "label").join(active, ["node", "rep"], "left_semi")
         edges = edges.unionByName(work.save(_joining(_units(left, set_block), shorts, sets, threshold), "edges-rest"))
