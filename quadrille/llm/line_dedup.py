@@ -17,9 +17,11 @@ Of each connected group one occurrence stays, the one of the smallest (document,
 
 Equal normalised lines are one node from the start, so counts of copies do not matter
 afterwards.  In each bucket every line first meets one hub, in large ones then some more;
-only lines that this leaves in different components meet each other, by classes of their
-length and, in large buckets, if they share a second one.  So a large group of near copies
-costs a few pairs for each of its lines, and lines that share a passage alone few.
+only lines that this leaves in different components meet each other: all of them, in
+buckets of any size.  Their lengths and the counts of their letters, from which an edit
+moves at most two, tell most of those apart before any text is read, and never two lines
+that link.  So a large group of near copies costs a few pairs for each of its lines, and
+lines that share a passage alone mostly a comparison of three longs for each pair.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import Workspace
 from quadrille.llm.components import connected_components
 
-SIMILARITY, BLOCKS, HUBS, LARGE, SMALL = 0.9, 8, 8, 64, 8
+SIMILARITY, BLOCKS, HUBS, LARGE = 0.9, 8, 8, 64
 #: (kind, least and most characters of the line, features a block).  A block counts if its words have LETTERS letters, or if it has RUNS runs.
 #: The lengths overlap, and so do the sizes at which the number of blocks doubles (EDGE, a part of a doubling).
 KINDS, LETTERS, RUNS = [("words", 90, 1 << 31, 4), ("runs", 0, 112, 2)], 16, 2
@@ -43,6 +45,10 @@ _ONES, _TOPS, _HALF, _SUMS = 0o01010101010101010101, 0o40404040404040404040, 31,
 #: Longer lines are first cut at words that both have once, if there are enough of them.
 _PLAIN, _ANCHORS, _CUT = 2000, 16, "\u0001"
 _LENGTH = 15
+#: Letters whose counts tell lines apart, eight for each of the columns; others are not counted.
+_LETTERS, _COUNTS = " etaoinshrdlcumwfgypbvkx", ["letters_0", "letters_1", "letters_2"]
+#: In larger buckets the lines that meet all others are dealt over several tasks, about so many for each.
+_DEALT = 4096
 
 
 def normalised_lines(text: Column) -> Column:
@@ -118,6 +124,20 @@ def _in_reach(a: str, b: str, similarity: float) -> Column:
     return F.abs(F.col(a) - F.col(b)) <= _most(a, b, similarity)
 
 
+def _counts(norm: Column) -> list[Column]:
+    """The counts of _LETTERS, in eight bits each: codes of neighbouring counts, modulo 16, differ in one bit, so codes differ in no more bits than counts in letters."""
+    n = lambda letter: (F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(15))
+    code = lambda letter: F.shiftright(F.call_function("shiftleft", F.lit(255), n(letter)), 8).bitwiseAND(F.lit(255)).cast("long")
+    eight = lambda letters: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(code(letter), 8 * i) for i, letter in enumerate(letters)])
+    return [eight(_LETTERS[8 * i : 8 * i + 8]).alias(name) for i, name in enumerate(_COUNTS)]
+
+
+def _alike(size_a: str, size_b: str, counts_a: list[str], counts_b: list[str], similarity: float) -> Column:
+    """False for lines that their letters keep from being linked: an edit adds a letter, drops one or does both, and lengths say how many only do one."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(counts_a, counts_b, strict=True)])
+    return apart <= 2 * _most(size_a, size_b, similarity) - F.abs(F.col(size_a) - F.col(size_b))
+
+
 def _once(words: Column) -> Column:
     """The words that occur once."""
     ordered = F.sort_array(words)
@@ -173,7 +193,8 @@ def line_links(lines: DataFrame, work: Workspace, similarity: float) -> DataFram
     first = work.save(members.where((F.col("line") != F.col("hub")) & _in_reach("size", "hub_size", similarity)).select(*_ordered("line", "hub")).distinct(), "pairs-hub")
     # besides those of pairs, lines of larger buckets may meet later
     wanted = first.select(F.explode(F.array("a", "b")).alias("line")).union(members.where("lines > 2").select("line")).distinct()
-    texts = work.save(lines.select(F.col("id").alias("line"), "norm").join(wanted, "line", "left_semi"), "texts")
+    texts = lines.select(F.col("id").alias("line"), "norm").join(wanted, "line", "left_semi")
+    texts = work.save(texts.select("line", "norm", *_counts(F.col("norm"))), "texts")
     edges = work.save(_verified(first, texts, similarity), "edges-hub")
     several = members.where("lines > 2").select("bucket", "lines", "line", "size")
     parts = connected_components(edges, work, "parts-hub")
@@ -186,31 +207,26 @@ def line_links(lines: DataFrame, work: Workspace, similarity: float) -> DataFram
         edges = edges.unionByName(work.save(_verified(pairs, texts, similarity), "edges-drawn"))
         parts = connected_components(edges, work, "parts-drawn")
         mixed = work.save(_labelled(several, parts), "mixed-drawn")
-    rest = _rest_pairs(mixed, similarity)
+    rest = _rest_pairs(mixed, texts, similarity)
     more = work.save(_verified(rest, texts, similarity), "edges-rest")
     return parts if more.isEmpty() else connected_components(edges.unionByName(more), work)
 
 
-def _rest_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components that share a bucket of at most SMALL lines, or two buckets.
-
-    A bucket that stays large and apart after its hubs holds lines that have one block in
-    common and little else: its pairs have to agree in a second block.
-    """
+def _rest_pairs(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of different components that shares a bucket of any size, but those that lengths or letters keep from being linked."""
+    counted = mixed.join(texts.select("line", *_COUNTS), "line")
     # lengths of linked lines are in the same class or in neighbouring ones
-    sized = mixed.withColumn("class", F.floor(F.log("size") / -math.log(similarity)))
-    lines = sized.groupBy("line", "size", "label", "class").agg(F.sort_array(F.collect_set("bucket")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("lines") <= SMALL, F.col("bucket")))).alias("small"))
-    twos = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.xxhash64(x, y))))
-    met = lines.select("line", "size", "label", "class", "all", "small", F.explode(F.concat("small", twos)).alias("met"))
-    side = lambda name, at: met.select("met", at.alias("at"), F.struct("line", "size", "label", "class", "all", "small").alias(name))
-    one, two = side("x", F.col("class")), side("y", F.explode(F.array(F.col("class"), F.col("class") - 1)))
-    # a pair comes once: from the first small bucket that both have, else from their first two
-    both, both_small = F.array_intersect("x.all", "y.all"), F.array_intersect("x.small", "y.small")
-    first = F.coalesce(F.get(both_small, F.lit(0)), F.xxhash64(F.get(both, F.lit(0)), F.get(both, F.lit(1))))
+    sized = counted.withColumn("class", F.floor(F.log("size") / -math.log(similarity)))
+    parts = F.ceil(F.col("lines") / _DEALT).cast("int")
+    line = F.struct("line", "size", "label", "class", *_COUNTS)
+    one = sized.select("bucket", F.col("class").alias("at"), F.pmod(F.xxhash64(F.lit(2), F.col("line")), parts).cast("int").alias("part"), line.alias("x"))
+    two = sized.select("bucket", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("at"), parts.alias("parts"), line.alias("y"))
+    two = two.select("bucket", "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y")
     once = (F.col("x.class") != F.col("y.class")) | (F.col("x.line") < F.col("y.line"))
     apart = (F.col("x.label") != F.col("y.label")) & _in_reach("x.size", "y.size", similarity)
-    pairs = one.join(two, (one["met"] == two["met"]) & (one["at"] == two["at"]) & apart & once & (first == one["met"]))
-    return pairs.select(*_ordered("x.line", "y.line")).distinct()
+    alike = _alike("x.size", "y.size", [f"x.{c}" for c in _COUNTS], [f"y.{c}" for c in _COUNTS], similarity)
+    met = reduce(lambda x, y: x & y, [one[c] == two[c] for c in ("bucket", "at", "part")])
+    return one.join(two, met & apart & once & alike).select(*_ordered("x.line", "y.line")).distinct()
 
 
 def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -225,6 +225,52 @@ def test_line_dedup_finds_edited_lines(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
 
 
+def lines_of_one_large_bucket(spark, families):
+    """Pairs of lines, each with half its words in common with all others, in one block, and edits in three words of the other block."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("klmnoprst") for _ in range(12))
+    words = [word() for _ in range(60 * families)]
+    words += [w[:-1] + "x" for w in words]
+    second = {r["w"] for r in spark.createDataFrame([(w,) for w in words], "w string").where("xxhash64(w) < 0").collect()}
+    common = [w for w in words if w not in second][:5]
+    edited = [w for w in words if w in second and w[:-1] + "x" in second and not w.endswith("x")]
+    lines = []
+    for i in range(families):
+        own = edited[5 * i : 5 * i + 5]
+        lines += [" ".join(common + own), " ".join(common + own[:2] + [w[:-1] + "x" for w in own[2:]])]
+    return lines
+
+
+@pytest.mark.parametrize("dealt", [4096, 8])
+def test_line_dedup_links_lines_that_share_one_large_bucket(spark, monkeypatch, dealt):
+    monkeypatch.setattr(line_dedup, "_DEALT", dealt, raising=False)
+    lines = lines_of_one_large_bucket(spark, 12)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {(r["doc_id"], 0) for r in line_dedup.dedup_lines(df, work(spark)).collect() if r["n_removed"]}
+    assert got == line_groups(lines) == {(2 * i + 1, 0) for i in range(12)}
+
+
+def test_letters_never_keep_linked_lines_apart(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(300):
+        a = "".join(rng.choice("eeettaoin shrdlu zé日7") for _ in range(rng.randint(1, 300)))
+        b = list(a)
+        for _ in range(len(a) // 10):  # as many edits as a link allows, many of one kind
+            at = rng.randrange(len(b))
+            kind = rng.choice(["add", "drop", "put"]) if i % 2 else ["add", "drop", "put"][i // 2 % 3]
+            b[at : at + 1] = {"add": [b[at], rng.choice("ez日")], "drop": [], "put": [rng.choice("ez日")]}[kind]
+        rows.append((a, "".join(b)))
+    rows += [("e" * 7, "t" * 7), ("the rain in spain" * 3, "quick brown foxes go" * 3)]
+    df = spark.createDataFrame(rows, "a string, b string").select("*", F.length("a").alias("n"), F.length("b").alias("m"))
+    df = df.select("*", F.array(*line_dedup._counts(F.col("a"))).alias("x"), F.array(*line_dedup._counts(F.col("b"))).alias("y"))
+    flat = df.select("n", "m", *[F.col(c)[i].alias(f"{c}{i}") for c in "xy" for i in range(3)])
+    alike = line_dedup._alike("n", "m", ["x0", "x1", "x2"], ["y0", "y1", "y2"], 0.9)
+    got = [r["ok"] for r in flat.select(alike.alias("ok")).collect()]
+    linked = [lev(a, b) <= math.floor(0.1 * max(len(a), len(b)) + 1e-9) for a, b in rows]
+    assert sum(linked) >= 250 and all(ok for ok, link in zip(got, linked, strict=True) if link) and got[-2:] == [False, False]
+
+
 def test_null_keys_leave_other_keys_as_they_are(spark):
     big = [9007199254740993, 9007199254740992]
     df = spark.createDataFrame([(None, "one two three four five six"), (big[0], "seven eight nine ten eleven twelve"), (big[1], "a b c d e f <|endoftext|> g")], "doc_id long, text string").coalesce(1)
