@@ -250,6 +250,14 @@ def test_line_dedup_links_lines_that_share_one_large_bucket(spark, monkeypatch,
     assert got == line_groups(lines) == {(2 * i + 1, 0) for i in range(12)}
 
 
+def test_pipeline_links_lines_that_share_one_large_bucket(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    lines = lines_of_one_large_bucket(spark, 12)
+    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "doc_id long, text string, n_chars long")
+    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in pipeline.line_dedup_texts(spark, df, "").collect()}
+    assert got == {(i, x if i % 2 == 0 else "", len(x) if i % 2 == 0 else 0) for i, x in enumerate(lines)}
+
+
 def test_letters_never_keep_linked_lines_apart(spark):
     rng = random.Random(23)
     rows = []
