@@ -43,12 +43,14 @@ RUN, EDGE = 5, 0.2
 #: Votes for a bit are counted in ten lanes of six bits of a long: the lanes' lowest and highest bits, and half of what a lane holds.
 _ONES, _TOPS, _HALF, _SUMS = 0o01010101010101010101, 0o40404040404040404040, 31, 3
 #: Longer lines are first cut at words that both have once, if there are enough of them.
-_PLAIN, _ANCHORS, _CUT = 2000, 16, "\u0001"
+_PLAIN, _ANCHORS, _CUT = 128, 4, "\u0001"
 _LENGTH = 15
 #: Letters whose counts tell lines apart, eight for each of the columns; others are not counted.
 _LETTERS, _COUNTS = " etaoinshrdlcumwfgypbvkx", ["letters_0", "letters_1", "letters_2"]
 #: In larger buckets the lines that meet all others are dealt over several tasks, about so many for each.
 _DEALT = 4096
+#: About so many lines are taken apart in one task.
+_TAKEN = 1 << 15
 
 
 def normalised_lines(text: Column) -> Column:
@@ -96,9 +98,10 @@ def _votes(counts: Column, n: Column) -> Column:
 def buckets(lines: DataFrame) -> DataFrame:
     """(bucket, line, size) of every block of every line (id, norm) that has enough features; size is the line's length.
 
-    A line of one block always has it.  Votes are added on the map side, so a line sends
-    one row for each of its blocks, whatever its length.
+    A line of one block always has it.  Lines are dealt by their id before they are taken
+    apart, so votes are added where the line is and only its text is shuffled.
     """
+    lines = lines.repartition(lines.count() // _TAKEN + 1, "id")
     length = F.length("norm")
     kinds = [F.when(length.between(low, high), F.struct(F.lit(number).alias("kind"), _features(kind, F.col("norm")).alias("features"))) for number, (kind, low, high, _) in enumerate(KINDS)]
     found = lines.select(F.col("id").alias("line"), length.alias("size"), F.explode(F.array(*kinds)).alias("k")).where("k is not null").select("line", "size", "k.*")
@@ -148,14 +151,14 @@ def _once(words: Column) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have an edit distance of at most ``most``.
 
-    The distance itself costs length x most steps.  Pairs of very long lines are mostly
-    settled by less: words that both have once, in the same order, cut both into pieces,
+    Letters that keep two lines apart decide first.  The distance itself costs the square
+    of the length; pairs of longer lines that link are mostly settled by less: words that both have once, in the same order, cut both into pieces,
     and the pieces' distances add up to no less than the lines', so a sum within ``most``
     links them.  Where it is above, the distance itself decides.
     """
-    one = texts.select(F.col("line").alias("a"), F.col("norm").alias("text_a"))
-    two = texts.select(F.col("line").alias("b"), F.col("norm").alias("text_b"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("most", _most(F.length("text_a"), F.length("text_b"), similarity))
+    side = lambda x: texts.select(F.col("line").alias(x), F.col("norm").alias(f"text_{x}"), F.length("norm").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _COUNTS])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("size_a", "size_b", [f"{c}_a" for c in _COUNTS], [f"{c}_b" for c in _COUNTS], similarity))
+    joined = joined.select("a", "b", "text_a", "text_b", _most("size_a", "size_b", similarity).alias("most"))
     longer = F.greatest(F.length("text_a"), F.length("text_b")) > _PLAIN
     none = F.array().cast("array<string>")
     cut = joined.select("*", F.when(longer, F.split("text_a", " ")).otherwise(none).alias("words_a"), F.when(longer, F.split("text_b", " ")).otherwise(none).alias("words_b"))
