@@ -43,10 +43,12 @@ RUN, EDGE = 5, 0.2
 #: Votes for a bit are counted in ten lanes of six bits of a long: the lanes' lowest and highest bits, and half of what a lane holds.
 _ONES, _TOPS, _HALF, _SUMS = 0o01010101010101010101, 0o40404040404040404040, 31, 3
 #: Longer lines are first cut at words that both have once, if there are enough of them.
-_PLAIN, _ANCHORS, _CUT = 128, 4, "\u0001"
+_PLAIN, _ANCHORS, _CUTS, _CUT = 500, 4, 16, "\u0001"
 _LENGTH = 15
 #: Letters whose counts tell lines apart, eight for each of the columns; others are not counted.
 _LETTERS, _COUNTS = " etaoinshrdlcumwfgypbvkx", ["letters_0", "letters_1", "letters_2"]
+#: What is left of a line without these is about a quarter, and no two lines are further apart in it than they are.
+_FREQUENT, _THINNED = " etaoinr", 128
 #: In larger buckets the lines that meet all others are dealt over several tasks, about so many for each.
 _DEALT = 4096
 #: About so many lines are taken apart in one task.
@@ -148,29 +150,53 @@ def _once(words: Column) -> Column:
     return F.array_except(words, repeated)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have an edit distance of at most ``most``.
+def _verified(pairs: DataFrame, lines: DataFrame, work: Workspace, name: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines (id, norm) whose texts have an edit distance of at most ``most``, saved.
 
-    Letters that keep two lines apart decide first.  The distance itself costs the square
-    of the length; pairs of longer lines that link are mostly settled by less: words that both have once, in the same order, cut both into pieces,
+    Pairs are written first, and only the texts that they name are moved.  Letters that
+    keep two lines apart decide first, then the distance without the most frequent
+    letters, which is no larger (an edit of a line is one of what is left of it, or none)
+    and mostly tells lines apart that are not alike.  The distance itself costs the square
+    of the length; pairs of longer lines that link are mostly settled by less: some of the words that both have once, in the same order, cut both into pieces,
     and the pieces' distances add up to no less than the lines', so a sum within ``most``
     links them.  Where it is above, the distance itself decides.
     """
-    side = lambda x: texts.select(F.col("line").alias(x), F.col("norm").alias(f"text_{x}"), F.length("norm").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _COUNTS])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("size_a", "size_b", [f"{c}_a" for c in _COUNTS], [f"{c}_b" for c in _COUNTS], similarity))
-    joined = joined.select("a", "b", "text_a", "text_b", _most("size_a", "size_b", similarity).alias("most"))
-    longer = F.greatest(F.length("text_a"), F.length("text_b")) > _PLAIN
+    pairs = work.save(pairs, f"pairs-{name}")
+    texts = work.save(_named(lines, pairs.select(F.explode(F.array("a", "b")).alias("line"))).select("line", "norm", *_counts(F.col("norm")), F.translate("norm", _FREQUENT, "").alias("thin")), f"texts-{name}")
+    side = lambda x: texts.select(F.col("line").alias(x), F.col("norm").alias(f"text_{x}"), F.col("thin").alias(f"thin_{x}"), F.length("norm").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _COUNTS])
+    # merged, so that pairs are dealt over tasks however few bytes they have
+    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(_alike("size_a", "size_b", [f"{c}_a" for c in _COUNTS], [f"{c}_b" for c in _COUNTS], similarity))
+    joined = joined.select("a", "b", "text_a", "text_b", "thin_a", "thin_b", _most("size_a", "size_b", similarity).alias("most"))
+    edges = work.save(_linked(joined), f"edges-{name}")
+    work.drop(f"pairs-{name}")
+    work.drop(f"texts-{name}")
+    return edges
+
+
+def _named(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(line, norm) of the lines named."""
+    return lines.select(F.col("id").alias("line"), "norm").join(named.select("line").distinct(), "line", "left_semi")
+
+
+def _linked(joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) of (a, b, text_a, text_b, thin_a, thin_b, most) that link."""
+    size = F.greatest(F.length("text_a"), F.length("text_b"))
+    near = (size <= _THINNED) | (F.call_function("levenshtein", "thin_a", "thin_b", "most") >= 0)
+    joined, longer = joined.select("*", near.alias("near")), F.col("near") & (size > _PLAIN)
     none = F.array().cast("array<string>")
     cut = joined.select("*", F.when(longer, F.split("text_a", " ")).otherwise(none).alias("words_a"), F.when(longer, F.split("text_b", " ")).otherwise(none).alias("words_b"))
     cut = cut.select("*", _once(F.col("words_a")).alias("once_a"), _once(F.col("words_b")).alias("once_b"))
     # each in the order of its own line
-    cut = cut.select("*", F.array_intersect("once_a", "once_b").alias("anchors"), F.array_intersect("once_b", "once_a").alias("anchors_b"))
+    cut = cut.select("*", F.array_intersect("once_a", "once_b").alias("shared"), F.array_intersect("once_b", "once_a").alias("shared_b"))
+    # every word is looked for among those that cut, so these are few
+    step = F.ceil(F.size("shared") / F.greatest(F.lit(_CUTS), F.size("shared") / _CUTS)).cast("int")
+    cut = cut.select("*", F.filter("shared", lambda _, i: i % step == 0).alias("anchors"))
     marked = lambda words: F.split(F.array_join(F.transform(words, lambda w: F.when(F.array_contains("anchors", w), F.lit(_CUT)).otherwise(w)), " "), _CUT)
     edits = lambda x, y: F.call_function("levenshtein", x, y, F.col("most"))  # noqa: E731  -1 above most
     far = F.lit(1 << 20)
-    in_order = (F.size("anchors") >= _ANCHORS) & (F.col("anchors") == F.col("anchors_b"))
+    in_order = (F.size("shared") >= _ANCHORS) & (F.col("shared") == F.col("shared_b"))
     pieces = F.aggregate(F.zip_with(marked("words_a"), marked("words_b"), lambda x, y: F.when(x == y, 0).otherwise(F.pmod(edits(x, y), far))), F.lit(0), lambda acc, x: F.least(acc + x, far))
-    linked = F.when(longer & in_order & (pieces <= F.col("most")), True).otherwise(edits(F.col("text_a"), F.col("text_b")) >= 0)
+    linked = F.when(longer & in_order & (pieces <= F.col("most")), True).otherwise(F.col("near") & (edits(F.col("text_a"), F.col("text_b")) >= 0))
     # one evaluation a pair: a filter would be pushed below the columns it reads
     return cut.select(F.explode(F.when(linked, F.array(F.struct("a", "b")))).alias("p")).select("p.*")
 
@@ -193,12 +219,8 @@ def line_links(lines: DataFrame, work: Workspace, similarity: float) -> DataFram
     # the counts and the join read one exchange
     shared = keys.groupBy("bucket").agg(F.count("*").alias("lines"), F.min(F.struct("line", "size")).alias("h")).where("lines > 1").select("bucket", "lines", F.col("h.line").alias("hub"), F.col("h.size").alias("hub_size"))
     members = work.save(keys.join(shared, "bucket"), "members")
-    first = work.save(members.where((F.col("line") != F.col("hub")) & _in_reach("size", "hub_size", similarity)).select(*_ordered("line", "hub")).distinct(), "pairs-hub")
-    # besides those of pairs, lines of larger buckets may meet later
-    wanted = first.select(F.explode(F.array("a", "b")).alias("line")).union(members.where("lines > 2").select("line")).distinct()
-    texts = lines.select(F.col("id").alias("line"), "norm").join(wanted, "line", "left_semi")
-    texts = work.save(texts.select("line", "norm", *_counts(F.col("norm"))), "texts")
-    edges = work.save(_verified(first, texts, similarity), "edges-hub")
+    first = members.where((F.col("line") != F.col("hub")) & _in_reach("size", "hub_size", similarity)).select(*_ordered("line", "hub")).distinct()
+    edges = _verified(first, lines, work, "hub", similarity)
     several = members.where("lines > 2").select("bucket", "lines", "line", "size")
     parts = connected_components(edges, work, "parts-hub")
     mixed = work.save(_labelled(several, parts), "mixed")
@@ -207,17 +229,18 @@ def line_links(lines: DataFrame, work: Workspace, similarity: float) -> DataFram
         drawn = large.where(F.pmod(F.xxhash64(F.lit(1), F.col("line")), F.col("lines")) < HUBS)
         drawn = drawn.select("bucket", F.col("line").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))
         pairs = large.join(drawn, "bucket").where((F.col("label") != F.col("hub_label")) & _in_reach("size", "hub_size", similarity)).select(*_ordered("line", "hub")).distinct()
-        edges = edges.unionByName(work.save(_verified(pairs, texts, similarity), "edges-drawn"))
+        edges = edges.unionByName(_verified(pairs, lines, work, "drawn", similarity))
         parts = connected_components(edges, work, "parts-drawn")
         mixed = work.save(_labelled(several, parts), "mixed-drawn")
-    rest = _rest_pairs(mixed, texts, similarity)
-    more = work.save(_verified(rest, texts, similarity), "edges-rest")
+    work.drop("members")
+    letters = work.save(_named(lines, mixed).select("line", *_counts(F.col("norm"))), "letters")
+    more = _verified(_rest_pairs(mixed, letters, similarity), lines, work, "rest", similarity)
     return parts if more.isEmpty() else connected_components(edges.unionByName(more), work)
 
 
-def _rest_pairs(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _rest_pairs(mixed: DataFrame, letters: DataFrame, similarity: float) -> DataFrame:
     """Every pair of different components that shares a bucket of any size, but those that lengths or letters keep from being linked."""
-    counted = mixed.join(texts.select("line", *_COUNTS), "line")
+    counted = mixed.join(letters, "line")
     # lengths of linked lines are in the same class or in neighbouring ones
     sized = counted.withColumn("class", F.floor(F.log("size") / -math.log(similarity)))
     parts = F.ceil(F.col("lines") / _DEALT).cast("int")
@@ -259,7 +282,7 @@ def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     words = gone.groupBy("doc", "row", F.floor(F.col("pos") / 64).cast("int").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     marks = words.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("_bits"), F.sum(F.bit_count("bits")).alias("n_removed"))
     marks = work.save(marks.withColumnRenamed("doc", "_doc").withColumnRenamed("row", "_row"), "marks")
-    for done in ("seen", "lines", "members", "texts", "grouped"):
+    for done in ("seen", "lines", "grouped"):
         work.drop(done)
 
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
