@@ -18,10 +18,11 @@ Of each connected group one occurrence stays, the one of the smallest (document,
 Equal normalised lines are one node from the start, so counts of copies do not matter
 afterwards.  In each bucket every line first meets one hub, in large ones then some more;
 only lines that this leaves in different components meet each other: all of them, in
-buckets of any size.  Their lengths and the counts of their letters, from which an edit
-moves at most two, tell most of those apart before any text is read, and never two lines
-that link.  So a large group of near copies costs a few pairs for each of its lines, and
-lines that share a passage alone mostly a comparison of three longs for each pair.
+buckets of any size, each pair in the first bucket that it shares.  Their lengths and the
+counts of their letters, from which an edit moves at most two, tell most of those apart
+before any text is read, and never two lines that link.  So a large group of near copies
+costs a few pairs for each of its lines, and lines that share a passage alone mostly a
+comparison of five longs for each pair.
 """
 
 from __future__ import annotations
@@ -42,11 +43,12 @@ KINDS, LETTERS, RUNS = [("words", 90, 1 << 31, 4), ("runs", 0, 112, 2)], 16, 2
 RUN, EDGE = 5, 0.2
 #: Votes for a bit are counted in ten lanes of six bits of a long: the lanes' lowest and highest bits, and half of what a lane holds.
 _ONES, _TOPS, _HALF, _SUMS = 0o01010101010101010101, 0o40404040404040404040, 31, 3
-#: Longer lines are first cut at words that both have once, if there are enough of them.
-_PLAIN, _ANCHORS, _CUT = 128, 4, "\u0001"
+#: Longer lines are first cut at words that both have equally often, if there are enough of them; up to there that takes longer than the distance itself.
+_PLAIN, _ANCHORS, _CUT = 2048, 4, "\u0001"
 _LENGTH = 15
-#: Letters whose counts tell lines apart, eight for each of the columns; others are not counted.
-_LETTERS, _COUNTS = " etaoinshrdlcumwfgypbvkx", ["letters_0", "letters_1", "letters_2"]
+#: Letters whose counts tell lines apart, by columns, and the bits for each: more for frequent ones.  The last column also has 32 bits for all other characters.
+_LETTERS = [(" eta", 16), ("oins", 16), ("hrdl", 16), ("cumwfgyp", 8), ("bvkx", 8)]
+_COUNTS = [f"letters_{i}" for i in range(len(_LETTERS))]
 #: In larger buckets the lines that meet all others are dealt over several tasks, about so many for each.
 _DEALT = 4096
 #: About so many lines are taken apart in one task.
@@ -128,11 +130,17 @@ def _in_reach(a: str, b: str, similarity: float) -> Column:
 
 
 def _counts(norm: Column) -> list[Column]:
-    """The counts of _LETTERS, in eight bits each: codes of neighbouring counts, modulo 16, differ in one bit, so codes differ in no more bits than counts in letters."""
-    n = lambda letter: (F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(15))
-    code = lambda letter: F.shiftright(F.call_function("shiftleft", F.lit(255), n(letter)), 8).bitwiseAND(F.lit(255)).cast("long")
-    eight = lambda letters: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(code(letter), 8 * i) for i, letter in enumerate(letters)])
-    return [eight(_LETTERS[8 * i : 8 * i + 8]).alias(name) for i, name in enumerate(_COUNTS)]
+    """The counts of _LETTERS: codes of neighbouring counts, modulo twice the bits, differ in one bit, so codes differ in no more bits than counts in letters."""
+
+    def code(n: Column, bits: int) -> Column:
+        ones = F.lit((1 << bits) - 1).cast("long")
+        return F.shiftright(F.call_function("shiftleft", ones, n.bitwiseAND(F.lit(2 * bits - 1))), bits).bitwiseAND(ones)
+
+    n = lambda letter: F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(letter), F.lit("")))
+    lanes = [[F.shiftleft(code(n(letter), bits), bits * i) for i, letter in enumerate(letters)] for letters, bits in _LETTERS]
+    others = F.length(F.translate(norm, "".join(letters for letters, _ in _LETTERS), ""))
+    lanes[-1].append(F.shiftleft(code(others, 32), 32))
+    return [reduce(lambda x, y: x.bitwiseOR(y), lane).alias(name) for lane, name in zip(lanes, _COUNTS, strict=True)]
 
 
 def _alike(size_a: str, size_b: str, counts_a: list[str], counts_b: list[str], similarity: float) -> Column:
@@ -141,18 +149,24 @@ def _alike(size_a: str, size_b: str, counts_a: list[str], counts_b: list[str], s
     return apart <= 2 * _most(size_a, size_b, similarity) - F.abs(F.col(size_a) - F.col(size_b))
 
 
-def _once(words: Column) -> Column:
-    """The words that occur once."""
+def _ends(words: Column) -> Column:
+    """The distinct words in order, each with the place where it ends among all words in order."""
     ordered = F.sort_array(words)
-    repeated = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(words)), lambda x, y: F.when(x == y, x))
-    return F.array_except(words, repeated)
+    last = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(words)), lambda x, y: F.when(~x.eqNullSafe(y), x))
+    return F.filter(F.transform(last, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda e: e["word"].isNotNull())
+
+
+def _tallied(ends: Column) -> Column:
+    """The distinct words, each with the number of times that it occurs."""
+    before = F.concat(F.array(F.lit(-1)), F.transform(ends, lambda e: e["at"]))
+    return F.array_compact(F.zip_with(ends, before, lambda e, at: F.when(e.isNotNull(), F.concat(e["word"], F.lit(_CUT), (e["at"] - at).cast("string")))))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have an edit distance of at most ``most``.
 
     Letters that keep two lines apart decide first.  The distance itself costs the square
-    of the length; pairs of longer lines that link are mostly settled by less: words that both have once, in the same order, cut both into pieces,
+    of the length; very long lines that link are mostly settled by less: words that both have equally often, all in the same order, cut both into pieces,
     and the pieces' distances add up to no less than the lines', so a sum within ``most``
     links them.  Where it is above, the distance itself decides.
     """
@@ -162,13 +176,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     longer = F.greatest(F.length("text_a"), F.length("text_b")) > _PLAIN
     none = F.array().cast("array<string>")
     cut = joined.select("*", F.when(longer, F.split("text_a", " ")).otherwise(none).alias("words_a"), F.when(longer, F.split("text_b", " ")).otherwise(none).alias("words_b"))
-    cut = cut.select("*", _once(F.col("words_a")).alias("once_a"), _once(F.col("words_b")).alias("once_b"))
-    # each in the order of its own line
-    cut = cut.select("*", F.array_intersect("once_a", "once_b").alias("anchors"), F.array_intersect("once_b", "once_a").alias("anchors_b"))
+    # a column each, because a lambda would evaluate anew what it reads
+    cut = cut.select("*", _ends(F.col("words_a")).alias("ends_a"), _ends(F.col("words_b")).alias("ends_b"))
+    equal = F.array_intersect(_tallied(F.col("ends_a")), _tallied(F.col("ends_b")))
+    cut = cut.select("*", F.transform(equal, lambda x: F.substring_index(x, _CUT, 1)).alias("anchors"))
+    anchored = lambda words: F.filter(words, lambda w: F.array_contains("anchors", w))
     marked = lambda words: F.split(F.array_join(F.transform(words, lambda w: F.when(F.array_contains("anchors", w), F.lit(_CUT)).otherwise(w)), " "), _CUT)
     edits = lambda x, y: F.call_function("levenshtein", x, y, F.col("most"))  # noqa: E731  -1 above most
     far = F.lit(1 << 20)
-    in_order = (F.size("anchors") >= _ANCHORS) & (F.col("anchors") == F.col("anchors_b"))
+    in_order = (F.size("anchors") >= _ANCHORS) & (anchored("words_a") == anchored("words_b"))
     pieces = F.aggregate(F.zip_with(marked("words_a"), marked("words_b"), lambda x, y: F.when(x == y, 0).otherwise(F.pmod(edits(x, y), far))), F.lit(0), lambda acc, x: F.least(acc + x, far))
     linked = F.when(longer & in_order & (pieces <= F.col("most")), True).otherwise(edits(F.col("text_a"), F.col("text_b")) >= 0)
     # one evaluation a pair: a filter would be pushed below the columns it reads
@@ -216,12 +232,13 @@ def line_links(lines: DataFrame, work: Workspace, similarity: float) -> DataFram
 
 
 def _rest_pairs(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Every pair of different components that shares a bucket of any size, but those that lengths or letters keep from being linked."""
-    counted = mixed.join(texts.select("line", *_COUNTS), "line")
+    """Every pair of different components that shares a bucket of any size, once, but those that lengths or letters keep from being linked."""
+    every = mixed.groupBy("line").agg(F.collect_set("bucket").alias("every"))
+    counted = mixed.join(every, "line").join(texts.select("line", *_COUNTS), "line")
     # lengths of linked lines are in the same class or in neighbouring ones
     sized = counted.withColumn("class", F.floor(F.log("size") / -math.log(similarity)))
     parts = F.ceil(F.col("lines") / _DEALT).cast("int")
-    line = F.struct("line", "size", "label", "class", *_COUNTS)
+    line = F.struct("line", "size", "label", "class", "every", *_COUNTS)
     one = sized.select("bucket", F.col("class").alias("at"), F.pmod(F.xxhash64(F.lit(2), F.col("line")), parts).cast("int").alias("part"), line.alias("x"))
     two = sized.select("bucket", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("at"), parts.alias("parts"), line.alias("y"))
     two = two.select("bucket", "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y")
@@ -229,7 +246,8 @@ def _rest_pairs(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     apart = (F.col("x.label") != F.col("y.label")) & _in_reach("x.size", "y.size", similarity)
     alike = _alike("x.size", "y.size", [f"x.{c}" for c in _COUNTS], [f"y.{c}" for c in _COUNTS], similarity)
     met = reduce(lambda x, y: x & y, [one[c] == two[c] for c in ("bucket", "at", "part")])
-    return one.join(two, met & apart & once & alike).select(*_ordered("x.line", "y.line")).distinct()
+    first = F.array_min(F.array_intersect("x.every", "y.every")) == one["bucket"]
+    return one.join(two, met & apart & once & alike & first).select(*_ordered("x.line", "y.line"))
 
 
 def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -279,6 +279,46 @@ def test_letters_never_keep_linked_lines_apart(spark):
     assert sum(linked) >= 250 and all(ok for ok, link in zip(got, linked, strict=True) if link) and got[-2:] == [False, False]
 
 
+def test_letters_keep_lines_apart_that_differ_much_in_one_letter_or_in_rare_ones(spark):
+    rows = [("e" * 40 + "t" * 24, "e" * 24 + "t" * 40), ("q" * 30, "j" * 30 + "z" * 8), ("日" * 40, "e" * 40), ("h" * 60, "h" * 64), ("é" * 50 + "eta", "é" * 54 + "et")]
+    df = spark.createDataFrame(rows, "a string, b string").select("*", F.length("a").alias("n"), F.length("b").alias("m"))
+    names = line_dedup._COUNTS
+    for x in "ab":
+        df = df.select("*", *[c.alias(f"{name}_{x}") for c, name in zip(line_dedup._counts(F.col(x)), names, strict=True)])
+    alike = line_dedup._alike("n", "m", [f"{c}_a" for c in names], [f"{c}_b" for c in names], 0.9)
+    assert [r["ok"] for r in df.select(alike.alias("ok")).collect()] == [False, False, False, True, True]
+
+
+def test_rest_pairs_come_once_however_many_buckets_they_share(spark):
+    lines = [" ".join(["same words in all of them", "abcdefghijkl"[i : i + 2], "again and again"]) for i in range(9)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "line long, norm string").select("line", "norm", *line_dedup._counts(F.col("norm")))
+    held = {10: range(9), 20: range(3, 9), 30: (0, 4, 8)}
+    rows = [(b, i, len(of), len(lines[i]), i // 2) for b, of in held.items() for i in of]
+    mixed = spark.createDataFrame(rows, "bucket long, line long, lines long, size int, label long")
+    found = line_dedup._rest_pairs(mixed, texts, 0.9)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == [(a, b) for a in range(9) for b in range(a + 1, 9) if a // 2 != b // 2]
+    # the join makes each once: nothing after it takes repeated pairs away
+    assert "Distinct" not in found._jdf.queryExecution().logical().toString().split("Join")[0]
+
+
+def test_very_long_lines_are_cut_at_words_of_equal_counts(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("klmnoprst") for _ in range(rng.randint(4, 9))) for _ in range(30)]
+    base = words * 15
+    some = [w if i % 9 else w[:-1] + "x" for i, w in enumerate(base)]  # few letters in many places
+    far = [w if i % 4 else "x" * len(w) for i, w in enumerate(base)]
+    turned = base[200:] + base[:200]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, some, far, turned, base[:-20], base[:60] + words[:2] + base[60:]])]
+    texts = spark.createDataFrame(rows, "line long, norm string").select("line", "norm", *line_dedup._counts(F.col("norm")))
+    pairs = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    got = {tuple(r) for r in line_dedup._verified(spark.createDataFrame(pairs, "a long, b long"), texts, 0.9).collect()}
+    x = dict(rows)
+    whole = spark.createDataFrame([(a, b, x[a], x[b]) for a, b in pairs], "a long, b long, x string, y string").select("a", "b", F.levenshtein("x", "y").alias("d"))
+    want = {(a, b) for a, b, d in whole.collect() if d <= math.floor(0.1 * max(len(x[a]), len(x[b])) + 1e-9)}
+    assert min(len(t) for t in x.values()) > line_dedup._PLAIN and got == want and {(0, 1), (0, 4), (0, 5)} <= want and (0, 2) not in want
+
+
 def test_null_keys_leave_other_keys_as_they_are(spark):
     big = [9007199254740993, 9007199254740992]
     df = spark.createDataFrame([(None, "one two three four five six"), (big[0], "seven eight nine ten eleven twelve"), (big[1], "a b c d e f <|endoftext|> g")], "doc_id long, text string").coalesce(1)
