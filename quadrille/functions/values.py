@@ -394,21 +394,50 @@ def _fixed_compare(op: str, v: Value, fixed: Value) -> Column:
     return F.when(same & fixed.term.isNotNull(), found).when(clear, False)
 
 
-def _dates(op: str, a: Column, b: Column) -> Column:
-    """Dates: those of which one has a zone compare only when more than 14 hours apart."""
-    zone = r"(Z|[+-][0-9]{2}:[0-9]{2})$"
+_ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})$"
+
 
-    def start(x: Column) -> Column:
-        day = F.regexp_replace(x, zone, "")
-        mark = F.regexp_extract(x, zone, 1)
-        return F.when(x.rlike(DATE_FORM), F.unix_micros(F.concat(day, F.lit("T00:00:00"), F.when(mark == "", "Z").otherwise(mark)).try_cast("timestamp")))
+def _start(x: Column) -> Column:
+    """Microseconds of a date's first moment, zone UTC where it has none."""
+    day = F.regexp_replace(x, _ZONE, "")
+    mark = F.regexp_extract(x, _ZONE, 1)
+    return F.when(x.rlike(DATE_FORM), F.unix_micros(F.concat(day, F.lit("T00:00:00"), F.when(mark == "", "Z").otherwise(mark)).try_cast("timestamp")))
 
-    x, y = start(a), start(b)
-    alike = a.rlike(zone) == b.rlike(zone)
+
+def _dates(op: str, a: Column, b: Column) -> Column:
+    """Dates: those of which one has a zone compare only when more than 14 hours apart."""
+    x, y = _start(a), _start(b)
+    alike = a.rlike(_ZONE) == b.rlike(_ZONE)
     apart = F.abs(x - y) > 14 * 3600 * 1_000_000
     return F.when(alike | apart, _plain(op, x, y))
 
 
+def plainly_equal(a: Value, b: Value) -> bool:
+    """Whether ``compare`` tells their equality by that of two columns."""
+    return "term" not in (a.kind, b.kind) and "number" not in (a.kind, b.kind)
+
+
+def equality_key(v: Value) -> Column:
+    """Text that values share wherever ``compare`` finds them equal; unequal values may share it too."""
+    if v.number is not None and isinstance(v.number.rank, int):
+        return _number_key(v.number.approx)
+    if v.kind == "iri":
+        return v.term
+    if v.kind == "string":
+        return F.concat(F.lit("s"), v.col)
+    if v.kind == "number":
+        return _number_key(v.number.approx)
+    others = [F.concat(F.lit("b"), v.boolean.cast("string")), F.concat(F.lit("i"), v.instant.cast("string"))]
+    if v.kind != "term":
+        return F.coalesce(*others)
+    date = F.when(v.suffix == f"^^<{XSD}date>", v.lex)
+    return F.coalesce(_number_key(v.number.approx), F.concat(F.lit("s"), v.string), *others, F.concat(F.lit("d"), _start(date).cast("string")), v.term)
+
+
+def _number_key(x: Column) -> Column:
+    return F.concat(F.lit("n"), F.when(x == 0, 0.0).otherwise(x).cast("string"))
+
+
 def same_term(a: Value, b: Value) -> Column:
     if a.rep == b.rep and a.kind not in ("number", "double", "decimal"):
         return a.col == b.col

@@ -82,11 +82,14 @@ def _without(lacking: Frame, n: str, other: Frame) -> tuple[Frame, Frame]:
 
 
 def left_join(left: Frame, right: Frame, condition=None) -> Frame:
-    """OPTIONAL; ``condition`` makes a column from the merged values and is part of the join."""
+    """OPTIONAL; ``condition`` makes a column from the merged values and is part of the join.
+
+    NULL joins nothing, as false does; the condition stays bare, since Catalyst finds join keys only among plain conjuncts.
+    """
     left, right, rdf, names, sure, unsure = _sides(left, right)
     on = _condition(sure, unsure, names)
     if condition is not None:
-        test = F.coalesce(condition(merged_values(left, right, names)), F.lit(False))
+        test = condition(merged_values(left, right, names))
         on = test if on is None else on & test
     return _merged(left.df.join(rdf, F.lit(True) if on is None else on, "left"), left, right, names, left.certain)
 
@@ -107,7 +110,7 @@ def exists(left: Frame, right: Frame, negated: bool, condition=None) -> Frame:
     left, right, rdf, names, sure, unsure = _sides(left, right)
     on = _condition(sure, unsure, names)
     if condition is not None:
-        test = F.coalesce(condition(merged_values(left, right, names)), F.lit(False))
+        test = condition(merged_values(left, right, names))
         on = test if on is None else on & test
     elif sure or unsure:
         rdf = rdf.select(*[names[n] for n in sure + unsure]).distinct() if unsure else rdf

@@ -154,14 +154,8 @@ class Compiler:
         return joins.join(self.compile(node.left, graph), self.compile(node.right, graph))
 
     def _leftjoin(self, node: A.LeftJoin, graph: ActiveGraph) -> Frame:
-        test = None
-        if node.condition is not None:
-            condition = node.condition
-
-            def test(values: dict[str, Value]) -> Column:
-                return self._expressions(values).condition(condition)
-
-        return joins.left_join(self.compile(node.left, graph), self.compile(node.right, graph), test)
+        left, right = self.compile(node.left, graph), self.compile(node.right, graph)
+        return joins.left_join(left, right, None if node.condition is None else self._test(node.condition, left, right))
 
     def _union(self, node: A.Union, graph: ActiveGraph) -> Frame:
         return joins.union(self.compile(node.left, graph), self.compile(node.right, graph))
@@ -186,7 +180,7 @@ class Compiler:
             inner, condition = self._hoisted(e.pattern, frame)
             right = self.compile(inner, graph)
             if condition is not None:
-                matched = joins.exists(frame, right, False, self._test(condition))
+                matched = joins.exists(frame, right, False, self._test(condition, frame, right))
                 right = Frame(matched.df.distinct(), matched.reps, matched.certain)
                 right = right.select(list(frame.reps))
             flag = joins.flagged(frame, right, column_of(name))
@@ -201,8 +195,30 @@ class Compiler:
             return A.Call(e.name, tuple(args)), frame
         return e, frame
 
-    def _test(self, condition: A.Node):
-        return lambda values: self._expressions(values).condition(condition)
+    def _test(self, condition: A.Node, left: Frame, right: Frame) -> Callable[[dict[str, Value]], Column]:
+        """The condition of a join.
+
+        Equality of terms is no plain equality, so Catalyst would compare all pairs: where each operand
+        reads one side only, the operands' keys are compared as well, which are equal wherever they are.
+        """
+        sides = {n for n in left.reps if n in left.certain or n not in right.reps}, set(right.reps) - set(left.reps)
+
+        def apart(e: A.Node) -> bool:
+            if not (isinstance(e, A.Call) and e.name == "=") or _volatile(e):
+                return False
+            read = [A.expression_variables(x) for x in e.args]
+            return all(read) and any(a <= sides[0] and b <= sides[1] for a, b in (read, read[::-1]))
+
+        def test(values: dict[str, Value]) -> Column:
+            made = self._expressions(values)
+            parts = [made.condition(condition)]
+            for e in filter(apart, _conjuncts(condition)):
+                a, b = map(made.value, e.args)
+                if not V.plainly_equal(a, b):
+                    parts.append(V.equality_key(a) == V.equality_key(b))
+            return reduce(lambda x, y: x & y, parts)
+
+        return test
 
     def _hoisted(self, pattern: A.Node, frame: Frame) -> tuple[A.Node, A.Node | None]:
         """An EXISTS pattern that reads outer rows, with its own filter apart where that can be part of the join."""
@@ -246,7 +262,8 @@ class Compiler:
         for part in _conjuncts(node.condition):
             if isinstance(part, A.Exists):
                 inner, condition = self._hoisted(part.pattern, frame)
-                frame = joins.exists(frame, self.compile(inner, graph), part.negated, None if condition is None else self._test(condition))
+                right = self.compile(inner, graph)
+                frame = joins.exists(frame, right, part.negated, None if condition is None else self._test(condition, frame, right))
                 continue
             part, frame = self._prepared(part, frame, graph)
             frame, values = frame.laned(_read(part))
