@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.sources.quads import SCHEMA, Dataset
 
@@ -83,9 +84,33 @@ def overlay(base: DataFrame, asserted: DataFrame, retracted: DataFrame) -> DataF
 
 
 def net(changes: DataFrame) -> DataFrame:
-    """The net of a window of exact deltas (position, op, quad): the quads whose first and last operation agree."""
-    ends = changes.groupBy(*QUAD).agg(F.min_by("op", "position").alias("first"), F.max_by("op", "position").alias("last"))
-    return ends.where("first = last").select(F.col("last").alias("op"), *QUAD)
+    """The net of a window of exact deltas (position, op, quad): the quads whose first and last operation agree.
+
+    Position and operation are one number, odd for a retraction, so that the aggregation hashes and need not sort.
+    """
+    at = F.col("position") * 2 + F.when(F.col("op") == "-", 1).otherwise(0)
+    ends = changes.groupBy(*QUAD).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    return ends.where("first % 2 = last % 2").select(F.when(F.col("last") % 2 == 1, "-").otherwise("+").alias("op"), *QUAD)
+
+
+def last_operations(operations: DataFrame) -> DataFrame:
+    """(quad, op): of several operations (op, quad[, seq]) on one quad the last by ``seq``, then the retraction."""
+    code = F.when(F.col("op") == "+", 1).when(F.col("op") == "-", 2).otherwise(0)
+    if "seq" not in operations.columns:
+        # quads that hardly repeat: grouping them before the shuffle too would save nothing
+        found = operations.repartition(*QUAD).groupBy(*QUAD).agg(F.max(code).alias("code"))
+    elif isinstance(operations.schema["seq"].dataType, T.IntegralType):  # one number, as in ``net``; NULL comes first
+        seq = F.coalesce(F.col("seq").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+        found = operations.groupBy(*QUAD).agg(F.max(seq * 4 + code).alias("last")).withColumn("code", F.pmod("last", F.lit(4)))
+    else:
+        return operations.groupBy(*QUAD).agg(F.max_by("op", F.struct("seq", F.col("op"))).alias("op"))
+    return found.select(*QUAD, F.when(F.col("code") == 1, "+").when(F.col("code") == 2, "-").alias("op"))
+
+
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, as a plan that the optimiser sees to be empty, so that joins with it vanish."""
+    fields = [f.split() for f in schema.split(", ")]
+    return spark.range(1).where("false").select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
 
 
 @dataclass
@@ -165,7 +190,7 @@ class Store:
         to = self.head() if to is None else to
         schema = "op string, s string, p string, o string, g string"
         if min(to, self.head()) <= after:
-            return self.spark.createDataFrame([], "position long, " + schema)
+            return _empty(self.spark, "position long, " + schema)
         df = self.spark.read.schema(schema + ", pos long, part string").option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
         df = df.where((F.col("pos") > after) & (F.col("pos") <= to)).withColumnRenamed("pos", "position")
         won = self.commits().where((F.col("position") > after) & (F.col("position") <= to)).select("position", "part")
@@ -183,10 +208,12 @@ class Store:
         """The state at a position; the head without one."""
         position = self.head() if position is None else position
         base = max([p for p in self.checkpoints() if p <= position], default=0)
-        state = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/snapshots/pos={base}") if base else self.spark.createDataFrame([], SCHEMA)
+        state = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/snapshots/pos={base}") if base else _empty(self.spark, "s string, p string, o string, g string")
         if base == position:
             return state
-        delta = net(self.changes(base, position))
+        delta = self.diff(base, position)
+        if not base:
+            return delta.where("op = '+'").select(*QUAD)
         return overlay(state, delta.where("op = '+'"), delta.where("op = '-'"))
 
     def dataset(self, position: int | None = None) -> Dataset:
@@ -200,8 +227,9 @@ class Store:
     def diff(self, start: int, end: int) -> DataFrame:
         """(op, quad): the net of (start, end], or its inverse if end is before start."""
         if start <= end:
-            return net(self.changes(start, end))
-        return net(self.changes(end, start)).withColumn("op", F.when(F.col("op") == "+", "-").otherwise("+"))
+            delta = self.changes(start, end)
+            return delta.select("op", *QUAD) if end - start == 1 else net(delta)  # one commit's is exact
+        return self.diff(end, start).withColumn("op", F.when(F.col("op") == "+", "-").otherwise("+"))
 
     def extents(self) -> DataFrame:
         """(quad, valid_from, valid_to): when each quad held; valid_to is NULL where it still does."""
@@ -235,9 +263,7 @@ class Store:
             if not touched.isEmpty():
                 raise Conflict(f"position {expected} is behind {head}")
         state = self.quads(head)
-        if "seq" not in operations.columns:
-            operations = operations.withColumn("seq", F.lit(0))
-        last = operations.groupBy(*QUAD).agg(F.max_by("op", F.struct("seq", F.col("op"))).alias("op"))
+        last = last_operations(operations)
         effective = _without(last.where("op = '+'"), state).unionByName(_within(last.where("op = '-'"), state)).select("op", *QUAD)
         # a folder of its own: two writers may both write for this position before one wins it
         part = uuid.uuid4().hex
@@ -245,11 +271,12 @@ class Store:
         folder = f"{self.path}/{name}"
         effective.write.mode("overwrite").parquet(folder)
         delta = self.spark.read.schema("op string, s string, p string, o string, g string").parquet(folder)
-        counts = {r["op"]: r["n"] for r in delta.groupBy("op").agg(F.count("*").alias("n")).collect()}
+        groups = delta.groupBy("op", "g").agg(F.count("*").alias("n")).collect()
+        counts = {op: sum(r["n"] for r in groups if r["op"] == op) for op in {r["op"] for r in groups}}
         if not counts and kind == "data":
             self._fs()[1].delete(self._path(name), True)
             return Outcome("no change", head)
-        graphs = [r[0] or DEFAULT_GRAPH for r in delta.select("g").distinct().collect()]
+        graphs = list({r["g"] or DEFAULT_GRAPH for r in groups})
         if writable is not None and set(graphs) - set(writable):
             raise NotWritable(", ".join(sorted(set(graphs) - set(writable))))
         if kind == "data":
@@ -292,10 +319,17 @@ class Store:
 
 
 def content_hash(delta: DataFrame) -> str:
-    """An order-free digest of a delta: the sum of its lines' SHA-256 values, so that no task sorts them all."""
+    """An order-free digest of a delta: the sum of its lines' SHA-256 values, so that no task sorts them all.
+
+    It is summed in eight parts of 32 bits: each line is hashed once, its digits are read 64 bits at a time,
+    and the sums are whole numbers within a task, where fewer than 2^31 lines cannot overflow them.
+    """
     line = F.concat_ws(" ", "op", "s", "p", "o", F.coalesce("g", F.lit("")))
-    part = lambda i: F.sum(F.conv(F.substring(F.sha2(line, 256), 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"x{i}")
-    sums = delta.agg(F.count("*").alias("n"), *[part(i) for i in range(8)]).first()
+    words = [F.conv(F.substring("hash", 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"w{i}") for i in range(4)]
+    halves = [half(F.col(f"w{i}")) for i in range(4) for half in (lambda w: F.shiftrightunsigned(w, 32), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    rows = delta.select(F.sha2(line, 256).alias("hash")).select(*words)
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), *[F.sum(h).alias(f"x{i}") for i, h in enumerate(halves)])
+    sums = tasks.agg(*[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in tasks.columns if c != "task"]).first()
     return hashlib.sha256("|".join(str(x or 0) for x in sums).encode()).hexdigest()
 
 

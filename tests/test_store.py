@@ -187,3 +187,76 @@ def test_engine_over_a_past_state(spark, tmp_path):
     Updater(store).run("DELETE DATA { <urn:a> <urn:p> <urn:b> }")
     assert Engine(spark, store.dataset(1)).ask("ASK { ?s ?p ?o }") and not Engine(spark, store.dataset()).ask("ASK { ?s ?p ?o }")
     assert store.position_at("2000-01-01T00:00:00Z") == 0 and store.position_at("2999-01-01T00:00:00Z") == 2
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grouping_quads_does_not_sort_them(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quadrille.store import last_operations, net
+
+    ops = [("-", "<a>", 3), ("+", "<a>", 7), ("+", "<b>", None), ("-", "<b>", -(1 << 63)), ("+", "<c>", 5), ("-", "<c>", 5), (None, "<d>", 9), ("+", "<d>", 8)]
+    rows = spark.createDataFrame([(op, s, "<p>", "<o>", None, seq) for op, s, seq in ops], "op string, s string, p string, o string, g string, seq long")
+    last = last_operations(rows)
+    assert {(r["s"], r["op"]) for r in last.collect()} == {("<a>", "+"), ("<b>", "-"), ("<c>", "-"), ("<d>", None)}
+    assert {(r["s"], r["op"]) for r in last_operations(rows.drop("seq")).collect()} == {("<a>", "-"), ("<b>", "-"), ("<c>", "-"), ("<d>", "+")}
+    changes = rows.where("op is not null and seq > 0").withColumn("position", F.monotonically_increasing_id() + 1)
+    assert {(r["s"], r["op"]) for r in net(changes).collect()} == {("<d>", "+")}
+    assert not [d for d in (last, last_operations(rows.drop("seq")), net(changes)) if "SortAggregate" in _plan(d)]
+
+
+def test_a_single_commit_is_read_without_grouping_it(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    assert store.quads().collect() == []
+    store.insert(spark.createDataFrame([("<a>", "<p>", "<b>", None), ("<a>", "<p>", "<b>", None), ("<a>", "<p>", "<b>", "<g>")], "s string, p string, o string, g string"))
+    assert sorted(map(tuple, store.quads().collect()), key=str) == sorted([("<a>", "<p>", "<b>", None), ("<a>", "<p>", "<b>", "<g>")], key=str)
+    assert "Aggregate" not in _plan(store.quads()) and store.diff(1, 0).count() == 2
+
+
+def test_the_content_hash_is_the_sum_of_the_lines_hashes(spark, tmp_path):
+    import hashlib
+
+    from quadrille.store import content_hash
+
+    rows = [("+", f"<urn:{i}>", "<p>", f'"{i}"', "<g>" if i % 3 else None) for i in range(200)]
+    sums = [0] * 8
+    for r in rows:
+        digest = hashlib.sha256(" ".join(x or "" for x in r).encode()).hexdigest()
+        sums = [x + int(digest[8 * i : 8 * i + 8], 16) for i, x in enumerate(sums)]
+    delta = spark.createDataFrame(rows, "op string, s string, p string, o string, g string")
+    assert content_hash(delta) == hashlib.sha256("|".join(map(str, [200, *sums])).encode()).hexdigest()
+
+
+def test_event_ordinals_are_counted_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille import events
+
+    rows = [(p, node, "<c>") for p in (1, 2, 5) for i in range(100 * p) for node in (f"<urn:{i}>", f"_:b{i}")] + [(2, "<urn:7>", "<d>")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = events.numbered(spark.createDataFrame(rows, "position long, node string, cls string").repartition(7)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = [r for p in (1, 2, 5) for r in enumerate(sorted((r for r in rows if r[0] == p), key=lambda r: (r[1].startswith("_:"), *r[1:])), 1)]
+    assert sorted((r["position"], r["ordinal"], r["node"], r["cls"]) for r in found) == sorted((r[0], i, *r[1:]) for i, r in wanted)
+    assert len({r["task"] for r in found if r["position"] == 5}) > 1
+
+
+def test_events_carry_values_of_every_kind(spark, tmp_path):
+    import json
+
+    from quadrille import events
+    from quadrille.terms import TYPE, literal
+
+    values = {"a": (literal("7", f"{XSD}integer"), 7), "b": (literal("2.50", f"{XSD}decimal"), 2.5), "c": (literal('x "y"\\'), 'x "y"\\'), "d": (literal("1", f"{XSD}boolean"), True), "e": ("<urn:z>", "urn:z")}
+    quads = [(f"<urn:{n}>", TYPE, "<urn:C>", None) for n in [*values, "f"]] + [(f"<urn:{n}>", "<urn:v>", term, None) for n, (term, _) in values.items()]
+    store = Store(spark, f"{tmp_path}/s")
+    store.insert(spark.createDataFrame(quads, "s string, p string, o string, g string"))
+    kind = events.EventType("<urn:C>", "Made", "1", "SELECT ?e ?v { ?e <urn:v> ?v }", "e", {"v": ("v", True), "again": ("v", False)})
+    got = {r["node"][5:-1]: r for r in events.render(spark, store, [kind], 0, 1).collect()}
+    assert [got[n]["ordinal"] for n in "abcdef"] == [1, 2, 3, 4, 5, 6] and got["f"]["problem"] == "0 rows"
+    assert {n: json.loads(r["event"])["data"] for n, r in got.items() if n != "f"} == {n: {"v": x, "again": x} for n, (_, x) in values.items()}
